@@ -9,7 +9,7 @@ shingle weighs ln(1 + items / items that hold it).
 The benchmark is searched in slices of at most ``SLICE`` items; a slice is what a task holds. Documents are scanned whole
 and need no shuffle.
 
-Words are runs of letters, digits and underscores in lower case. Null, empty texts and items match nothing; a text or item
+Words are runs of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. Null, empty texts and items match nothing; a text or item
 of under five words is one shingle as a whole, and a window is never longer than its document. Repeated rows of documents
 each give their matches; of repeated item ids each text counts. Empty tables give an empty result. Columns other than
 doc_id, text and item_id are ignored.
@@ -18,25 +18,31 @@ doc_id, text and item_id are ignored.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batch, schema_text, shingle_hashes
+from .common import Words, by_batch, schema_text, shingle_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 SLICE = 20_000
-_WORDS = re.compile(r"\w+").findall
+_BLANK = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
+def clean(text: str) -> bytes:
+    """Lower case, with a blank for each ASCII character that isn't a letter, digit or underscore."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANK)
+
+
+def word_hashes(texts) -> Iterator[np.ndarray]:
+    return Words(clean=clean).each(texts)
 
 
 def bits(x: np.ndarray) -> np.ndarray:
@@ -53,18 +59,14 @@ class Benchmark:
     """A slice's shingles, weights, fingerprints and multi-index."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hasher = WordHash()
         self.ids, self.length, self.sets, all_hashes = [], [], [], []
-        self.vocabulary: set[str] = set()
-        for item, text in items:
-            ws = words(text)
-            if ws:
-                s = shingle_hashes(hasher.array([w.encode() for w in ws]), WIDTH)
+        for (item, _), h in zip(items, word_hashes(t for _, t in items), strict=True):
+            if len(h):
+                s = shingle_hashes(h, WIDTH)
                 self.ids.append(item)
-                self.length.append(len(ws))
+                self.length.append(len(h))
                 self.sets.append(frozenset(s.tolist()))
                 all_hashes.append(s)
-                self.vocabulary.update(ws)
         n = len(self.ids)
         df: dict[int, list[int]] = {}
         for j, s in enumerate(self.sets):
@@ -72,6 +74,8 @@ class Benchmark:
                 df.setdefault(x, []).append(j)
         self.holders = df
         self.known = np.array(sorted(df), np.uint64)
+        self.maybe = np.zeros(1 << 22, bool)  # by a shingle's low bits, whether an item may hold it
+        self.maybe[(self.known & np.uint64(0x3FFFFF)).astype(np.int64)] = True
         self.unseen = math.log(1 + n) if n else 1.0
         self.weight = {x: math.log(1 + n / len(v)) for x, v in df.items()}
         self.fixed = np.array([round(self.weight[int(x)] * 256) for x in self.known], np.int64)
@@ -118,26 +122,32 @@ class Benchmark:
         own = sum(w.get(x, self.unseen) for x in window)
         return both / (own + self.mass[j] - both) if both else 0.0
 
-    def starts(self, n_words: int, s: np.ndarray) -> dict[int, np.ndarray]:
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        """Places of shingles that some item holds."""
+        at = np.flatnonzero(self.maybe[(s & np.uint64(0x3FFFFF)).astype(np.int64)])
+        if not len(at):
+            return at
+        j = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
+        return at[self.known[j] == s[at]]
+
+    def starts(self, n_words: int, s: np.ndarray, hits: np.ndarray) -> dict[int, np.ndarray]:
         """Window length -> starts of the candidate windows of a document with the shingles ``s``."""
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        hits = np.flatnonzero(self.known[at] == s)
         out: dict[int, list[np.ndarray]] = {}
         for p in hits.tolist():
             for size in {min(self.length[j], n_words) for j in self.holders[int(s[p])]}:
                 out.setdefault(size, []).append(np.arange(max(0, p - max(0, size - WIDTH)), min(p, n_words - size) + 1))
         return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
-    def search(self, ws: list[str], hasher: WordHash, least: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
-        """(item, start, words, similarity) of the best window for each item that some window resembles."""
-        if len(ws) >= WIDTH:  # a shingle of an item has only words of the benchmark
-            ok = np.fromiter(map(self.vocabulary.__contains__, ws), np.int8, len(ws))
-            run = np.convolve(ok, np.ones(WIDTH, np.int8), "valid")
-            if not (run == WIDTH).any():
-                return []
-        s = shingle_hashes(hasher.array([w.encode("utf-8", "surrogatepass") for w in ws]), WIDTH)
+    def search(self, h: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
+        """(item, start, words, similarity) of the best window for each item that some window of a text resembles."""
+        if not len(h) or not self.ids:
+            return []
+        s = shingle_hashes(h, WIDTH)
+        hits = self.hits(s)
+        if not len(hits):
+            return []
         best: dict[int, tuple[float, int, int]] = {}
-        for size, starts in self.starts(len(ws), s).items():
+        for size, starts in self.starts(len(h), s, hits).items():
             span = max(1, size - WIDTH + 1)
             lo, hi = int(starts[0]), int(starts[-1]) + span
             part = s[lo:hi]
@@ -173,15 +183,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, sl
     for shared in _slices(benchmark, slice_items):
 
         def work(batches, shared=shared):
-            bench, hasher = Benchmark(shared.value), WordHash()
+            bench = Benchmark(shared.value)
             for b in batches:
                 got = {c: [] for c in ("doc_id", "item_id", "start", "n_words", "similarity")}
-                if bench.ids:
-                    for doc, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                        ws = words(t.as_py())
-                        for row in bench.search(ws, hasher, least) if ws else ():
-                            for c, v in zip(got, (doc, *row), strict=True):
-                                got[c].append(v)
+                for doc, h in zip(b["doc_id"].to_pylist(), word_hashes(t.as_py() for t in b["text"]), strict=True):
+                    for row in bench.search(h, least):
+                        for c, v in zip(got, (doc, *row), strict=True):
+                            got[c].append(v)
                 yield got
 
         one = by_batch(docs.select("doc_id", "text"), schema, work)
@@ -194,10 +202,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMI
     for shared in _slices(benchmark, slice_items):
 
         def work(batches, shared=shared):
-            bench, hasher = Benchmark(shared.value), WordHash()
+            bench = Benchmark(shared.value)
             for b in batches:
-                clean = [not (bench.ids and (ws := words(t.as_py())) and bench.search(ws, hasher, least)) for t in b["text"]]
-                yield {c: v.filter(clean) for c, v in b.items()}
+                clean_ = [not bench.search(h, least) for h in word_hashes(t.as_py() for t in b["text"])]
+                yield {c: v.filter(pa.array(clean_, pa.bool_())) for c, v in b.items()}
 
         docs = by_batch(docs, schema_text(docs), work)
     return docs

@@ -37,25 +37,42 @@ def words(text: str | None) -> list[str]:
 
 class Model(NamedTuple):
     langs: list[str]
-    words: dict[str, np.ndarray]  # log frequency by language
-    grams: dict[str, np.ndarray]
-    least: np.ndarray
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.words.get(w)
-        if got is not None:
-            return got
-        padded, parts, i = f" {w} ", [], 0
-        while i < len(padded):
-            for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                got = self.grams.get(padded[i : i + n])
+    words: dict[str, int]  # row of word_scores
+    grams: dict[str, int]
+    word_scores: np.ndarray  # log frequency by language
+    gram_scores: np.ndarray
+
+    def cut(self, w: str) -> list[int]:
+        """Numbers of the n-grams of an unseen word: at each place the longest that is known, then on from its last letter."""
+        padded, parts, i, get = f" {w} ", [], 0, self.grams.get
+        end = len(padded)
+        while i < end:
+            for n in range(min(LONGEST, end - i), 0, -1):
+                got = get(padded[i : i + n])
                 if got is not None:
                     parts.append(got)
                     i += max(1, n - 1)
                     break
             else:
                 i += 1
-        return np.mean(parts, axis=0) if parts else self.least
+        return parts
+
+    def rows(self, ws: list[str]) -> np.ndarray:
+        """Scores (words, langs) of distinct words."""
+        out = np.zeros((len(ws), len(self.langs)))
+        flat, sizes, at = [], [], []
+        for j, w in enumerate(ws):
+            got = self.words.get(w)
+            if got is not None:
+                out[j] = self.word_scores[got]
+            elif parts := self.cut(w):
+                at.append(j)
+                sizes.append(len(parts))
+                flat += parts
+        if at:
+            n = np.array(sizes)
+            out[at] = np.add.reduceat(self.gram_scores[flat], np.cumsum(n) - n, axis=0) / n[:, None]
+        return out
 
 
 def tally(rows: DataFrame) -> DataFrame:
@@ -83,7 +100,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, sample / sizes[k]) * 2**31)))])
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.element_at(share, F.col("lang")))
@@ -95,38 +112,37 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for lang, kind, key, n in zip(*(top[c].to_pylist() for c in ("lang", "kind", "key", "n")), strict=True):
         counts[kind].setdefault(key, np.zeros(len(langs)))[at[lang]] = n
 
-    def logs(table: dict[str, np.ndarray], least: int) -> dict[str, np.ndarray]:
+    def logs(table: dict[str, np.ndarray], least: int) -> tuple[dict[str, int], np.ndarray]:
         total = sum(table.values(), np.zeros(len(langs))) + 1
-        return {k: np.log((v + 0.1) / total) for k, v in table.items() if v.sum() >= least}
+        kept = [k for k, v in table.items() if v.sum() >= least]
+        return {k: j for j, k in enumerate(kept)}, np.array([np.log((table[k] + 0.1) / total) for k in kept]).reshape(-1, len(langs))
 
-    return Model(langs, logs(counts["w"], 2), logs(counts["g"], 1), np.zeros(len(langs)))
+    (w, ws), (g, gs) = logs(counts["w"], 2), logs(counts["g"], 1)
+    return Model(langs, w, g, ws, gs)
 
 
 class Rows(dict):
-    """word -> row number in a growing score matrix."""
+    """word -> row number in a growing score matrix; forgets all beyond ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.scores = np.zeros((1024, len(model.langs)))
 
-    def __missing__(self, w: str) -> int:
-        j = len(self)
-        if j == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[j] = self.model.word(w)
-        self[w] = j
-        return j
-
-    def total(self, ws: list[str]) -> np.ndarray:
+    def totals(self, docs: list[list[str]]) -> np.ndarray:
+        """Sums of word scores, a row for each document."""
         if len(self) > self.limit:
             self.clear()
-        if len(ws) > 200:
-            c = Counter(ws)
-            j = np.fromiter(map(self.__getitem__, c), np.int64, len(c))
-            return np.fromiter(c.values(), float, len(c)) @ self.scores[j]
-        j = list(map(self.__getitem__, ws))
-        return self.scores[j].sum(axis=0)
+        new = list(set().union(*docs).difference(self))
+        n = len(self) + len(new)
+        if n > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((max(n, 2 * len(self.scores)) - len(self.scores), self.scores.shape[1]))])
+        self.scores[len(self) : n] = self.model.rows(new)
+        self.update(zip(new, range(len(self), n), strict=True))
+        out = np.zeros((len(docs), self.scores.shape[1]))
+        for j, ws in enumerate(docs):
+            out[j] = self.scores[list(map(self.__getitem__, ws))].sum(axis=0)
+        return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,17 +154,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         rows = Rows(m)
         for b in batches:
             lang, score = [], []
-            for t in b["text"]:
-                ws = words(t.as_py())
-                if not ws or not m.langs:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
+            for lo in range(0, len(b["text"]), 64):
+                docs_ = [words(t.as_py()) for t in b["text"][lo : lo + 64]]
+                if not m.langs:
+                    lang += [UNKNOWN] * len(docs_)
+                    score += [0.0] * len(docs_)
                     continue
-                s = rows.total(ws)
-                e = np.exp(s - s.max())
-                k = int(np.argmax(s))
-                lang.append(m.langs[k])
-                score.append(float(e[k] / e.sum()))
+                for ws, s in zip(docs_, rows.totals(docs_), strict=True):
+                    k = int(np.argmax(s))
+                    lang.append(m.langs[k] if ws else UNKNOWN)
+                    score.append(float(1 / np.exp(s - s[k]).sum()) if ws else 0.0)
             yield dict(b) | {"lang_pred": lang, "score": score}
 
     return by_batch(docs, schema_text(docs) + ", lang_pred string, score double", work)

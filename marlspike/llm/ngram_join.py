@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batch, mix64, shingle_hashes, stored, words_of
+from .common import Words, by_batch, mix64, shingle_hashes, stored
 from .graph import connected
 
 SMALL = 24
@@ -34,9 +34,10 @@ BROADCAST = 2_000_000
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def shingle_set(text: str | None, k: int, hasher: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    return np.unique(shingle_hashes(hasher.array(words_of(text)), k))
+def shingle_sets(texts, k: int, words: Words):
+    """Sorted distinct 64-bit shingle hashes of each text."""
+    for h in words.each(t.as_py() for t in texts):
+        yield np.unique(shingle_hashes(h, k))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -140,10 +141,10 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, sid (null without shingles), n."""
 
     def work(batches):
-        hasher = WordHash()
+        words = Words()
         for b in batches:
-            sets = [shingle_set(t.as_py(), k, hasher) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets]}
+            sets = [(set_id(s) if len(s) else None, len(s)) for s in shingle_sets(b["text"], k, words)]
+            yield {"doc_id": b["doc_id"], "sid": [s for s, _ in sets], "n": [n for _, n in sets]}
 
     return by_batch(docs.select("doc_id", "text"), "doc_id long, sid long, n long", work)
 
@@ -152,11 +153,10 @@ def key_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(key, sid); a set that comes again in a task gives its keys once."""
 
     def work(batches):
-        hasher, seen = WordHash(), set()
+        words, seen = Words(), set()
         for b in batches:
             ks, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t in b["text"]:
-                s = shingle_set(t.as_py(), k, hasher)
+            for s in shingle_sets(b["text"], k, words):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 if len(seen) > 500_000:
@@ -218,9 +218,9 @@ def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id")
 
     def work(batches):
-        hasher = WordHash()
+        words = Words()
         for b in batches:
-            sets = [shingle_set(t.as_py(), k, hasher) for t in b["text"]]
+            sets = list(shingle_sets(b["text"], k, words))
             # Of rows that share an id only those with the wanted set count.
             keep = [j for j, (s, sid) in enumerate(zip(sets, b["sid"].to_pylist(), strict=True)) if len(s) and set_id(s) == sid]
             yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "elements": [sets[j].astype("<u8").tobytes() for j in keep]}

@@ -13,7 +13,9 @@ Empty tables give an empty result. Columns other than ``id`` and ``text`` are ig
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -31,17 +33,56 @@ BUCKETS = 64
 class WordIds(dict):
     """pre-token -> its ids as little-endian unsigned 32-bit bytes; forgets all beyond ``limit`` entries."""
 
-    def __init__(self, tokenizer, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.encode, self.limit = encode, limit
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = self[word] = array("I", self.encode(word)).tobytes()
         return out
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
+def word_encoder(path: str):
+    """Ids of one pre-token, or None if the vocabulary's form doesn't allow it.
+
+    The vocabulary's ids are in merge order, so they serve as merge ranks; the end-of-word suffix is written as the byte
+    255, which no UTF-8 text holds and which always merges first.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    special = {k for k in vocab if k.startswith("<|")}
+    order = sorted((v, k) for k, v in vocab.items() if k not in special)
+    if not suffix or [k for _, k in order[512:]] != ["".join(m) for m in merges]:
+        return None
+    of = byte_of_char()
+    ranks = {}
+    for rank, token in order:
+        end = token.endswith(suffix)
+        ranks[bytes(of[c] for c in (token[: -len(suffix)] if end else token)) + b"\xff" * end] = rank
+    own = {r for b, r in ranks.items() if len(b) == 2 and b[1] == 255}
+    if {r for b, r in ranks.items() if len(b) == 1} | own != set(range(512)):
+        return None
+    ranks.setdefault(b"\xff", max(ranks.values()) + 1)
+    bpe = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+    one = bpe._core_bpe.encode_single_piece
+    return lambda word: one(word.encode() + b"\xff")
+
+
 class WordTokenizer:
     """Ids of a tokenizer whose pre-tokens are encoded independently, remembered by pre-token.
 
@@ -54,14 +95,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.ids = WordIds(self.whole)
+        self.ids = WordIds(word_encoder(path) or (lambda w: self.whole.encode(w, add_special_tokens=False).ids))
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[\x09\x0A\x0D\x20-\x7E¡-¬®-ſ‐-‧]*").fullmatch
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+").findall
+        self.plain = re.compile(r"[\x09\x0A\x0D\x20-\x7E\u00A1-\u00AC\u00AE-\u017F\u2010-\u2027]*").fullmatch
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or "İ" in text or not self.plain(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.ids.__getitem__, self.split(text.lower())))
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        split = self.ascii if text.isascii() else self.split
+        return b"".join(map(self.ids.__getitem__, split(text.lower())))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
