@@ -1,0 +1 @@
+"""Semantic code-context analytics on Spark DataFrames."""
