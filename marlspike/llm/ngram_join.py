@@ -8,8 +8,9 @@ each segment that isn't empty and one for each two segments that are: linked set
 Sets that share a key are candidates: all pairs of a small group, and for a group of more than SMALL sets each set with the
 group's first. Candidates pass the size bound, then the bound that bitmaps give (a bit set in one only is an element missing
 from the other), then the exact intersection. Links found join components; of larger groups that still span components,
-sets are grouped again by the key and a second segment, and pairs of different components are verified. So no pair that
-could join two components is left unverified, and a clique of n near copies costs about n comparisons.
+the sets meet in tiles of at most TILE a side, with a 32-bit short form of each element: within a task, pairs of different
+components pass the bounds by size and bits and then by the short forms, and what is left is verified exactly. So no pair
+that could join two components is left unverified, and a clique of n near copies costs about n comparisons.
 
 Words are runs of other than ASCII white space with A-Z in lower case. Null and empty texts have no shingle and no link; under
 ``k`` words, the whole sequence is the one shingle. Repeated rows share a component like any copies. Empty tables give an
@@ -29,6 +30,9 @@ from .common import Words, by_batch, mix64, shingle_hashes, stored
 from .graph import connected
 
 SMALL = 24
+TILE = 4096
+#: Bits of a set's bitmap within a tile.
+TILE_BITS = 2048
 #: A set of row numbers may travel to all tasks up to this size; beyond it rows are joined by shuffle.
 BROADCAST = 2_000_000
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -93,20 +97,6 @@ def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def subkeys(s: np.ndarray, big: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """(key of ``big``, key with a second segment): what two linked sets share beside a key of their own."""
-    out, wanted = [], set(big.view(np.uint64).tolist())
-    for tile, count in tiles(len(s), num, den):
-        key, empty = segments(s, tile, count)
-        for k in np.flatnonzero(~empty):
-            if int(key[k]) in wanted:
-                wanted.discard(int(key[k]))
-                rest = np.delete(key, k)
-                out += [(int(key[k].view(np.int64)), x) for x in mix64(np.minimum(rest, key[k]) ^ mix64(np.maximum(rest, key[k]) + _B)).view(np.int64).tolist()]
-    # Two empty segments are agreement enough: those groups stay as they are.
-    return out + [(x, x) for x in np.array(sorted(wanted), np.uint64).view(np.int64).tolist()]
-
-
 def bitmap(s: np.ndarray) -> bytes:
     """Hashed bits of a set, twice as many as elements at least, in a power of two."""
     size = 64
@@ -207,11 +197,11 @@ def candidates(rows: DataFrame) -> DataFrame:
         pairs = close()
         yield {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "key": [None] * len(pairs)}
 
-    return by_batch(rows.repartition("key").sortWithinPartitions("key", "sid"), "a long, b long, key long", work)
+    return by_batch(rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "sid"), "sid").select("key", "sid"), "a long, b long, key long", work)
 
 
 def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """(sid, n, bits, members) of ``sids``, from one document of each."""
+    """(sid, n, bits, short, elements) of ``sids``, from one document of each."""
     ids = members.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     ids = stored(ids, "needed")
     small = ids.limit(BROADCAST + 1).count() <= BROADCAST
@@ -223,9 +213,10 @@ def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) ->
             sets = list(shingle_sets(b["text"], k, words))
             # Of rows that share an id only those with the wanted set count.
             keep = [j for j, (s, sid) in enumerate(zip(sets, b["sid"].to_pylist(), strict=True)) if len(s) and set_id(s) == sid]
-            yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "elements": [sets[j].astype("<u8").tobytes() for j in keep]}
+            short = [np.unique((sets[j] >> np.uint64(32)).astype("<u4")).tobytes() for j in keep]
+            yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "short": short, "elements": [sets[j].astype("<u8").tobytes() for j in keep]}
 
-    return stored(by_batch(rows.select("sid", "text"), "sid long, n long, bits binary, elements binary", work).dropDuplicates(["sid"]), "sets")
+    return stored(by_batch(rows.select("sid", "text"), "sid long, n long, bits binary, short binary, elements binary", work).dropDuplicates(["sid"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -251,6 +242,74 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return stored(by_batch(full, "a long, b long", exact), "links")
 
 
+class Tile:
+    """Pairs of a key's sets that are of different components and may link by sizes, bits and short forms."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def links(self, sid: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, short: list[np.ndarray]) -> list[tuple[int, int]]:
+        """``block``: 0 or 1; where both occur only pairs across are looked at, as others have a tile of their own."""
+        num, den, out = self.num, self.den, []
+        bits = np.zeros((len(sid), TILE_BITS), np.uint8)
+        for j, x in enumerate(short):
+            bits[j, x % TILE_BITS] = 1
+        bits = np.packbits(bits, axis=1).view("<u8")
+        label = np.unique(label, return_inverse=True)[1]
+        across = block.any() and not block.all()
+        for x in np.argsort(-np.bincount(label)[label], kind="stable")[::-1].tolist():
+            other = label != label[x]
+            if across:
+                other &= block != block[x]
+            low, high = np.minimum(n, n[x]), np.maximum(n, n[x])
+            y = np.flatnonzero(other & (low * den >= num * high))
+            if not len(y):
+                continue
+            most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+            for z in y[most * den >= num * (n[x] + n[y] - most)].tolist():
+                if label[z] == label[x]:
+                    continue
+                a, b = short[x], short[z]
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                most_ = min(both + int(n[x]) - len(a), both + int(n[z]) - len(b))  # elements that share a short form count as common
+                if most_ * den >= num * (int(n[x]) + int(n[z]) - most_):
+                    out.append((int(sid[x]), int(sid[z])))
+        return out
+
+
+def tiled(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that may link among the sets of each key of ``large`` (key, sid, label), of different labels."""
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
+    x = large.join(sizes.select("key", "_blocks"), "key").withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
+    # Block i meets each block j: a set goes to as many tiles as there are blocks.
+    x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    x = x.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("block"), "sid", "label").join(sets.select("sid", "n", "short"), "sid")
+    cols = ["key", "i", "j", "block", "sid", "label", "n", "short"]
+
+    def work(batches):
+        tile, now, held = Tile(num, den), None, []
+
+        def close():
+            if len(held) < 2:
+                return []
+            c = list(zip(*held, strict=True))
+            return tile.links(np.array(c[1]), np.array(c[2]), np.array(c[3]), np.array(c[0]), [np.frombuffer(v, "<u4") for v in c[4]])
+
+        for b in batches:
+            found = []
+            c = {k: b[k].to_pylist() for k in cols}
+            for k, i, j, *row in zip(*(c[k] for k in cols), strict=True):
+                if (k, i, j) != now:
+                    found += close()
+                    now, held = (k, i, j), []
+                held.append(row)
+            yield {"a": [p[0] for p in found], "b": [p[1] for p in found]}
+        found = close()
+        yield {"a": [p[0] for p in found], "b": [p[1] for p in found]}
+
+    return by_batch(x.select(cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), "a long, b long", work)
+
+
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest id reachable over links of num / den similarity or more."""
     members = stored(document_sets(docs, k), "members")
@@ -259,34 +318,18 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     sets = needed_sets(docs, members, sids, k)
 
     # One candidate for each set first: most others then lie inside a component and need no look.
-    pairs = found.filter("a <> b").select("a", "b")
+    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = ordered(found.filter("a <> b"))
     first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, num, den)
     label = stored(connected(first), "labels")
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
 
-    rest = labelled(labelled(pairs.distinct(), "a"), "b").filter("_a <> _b").select("a", "b")
-    rest = rest.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
-
-    large = labelled(found.filter("key is not null").select("key", F.col("b").alias("sid")).distinct(), "sid")
-    mixed = large.groupBy("key").agg(F.min("_sid").alias("lo"), F.max("_sid").alias("hi")).filter("lo <> hi").select("key")
-    large = large.join(mixed, "key", "left_semi").groupBy("sid", "_sid").agg(F.collect_list("key").alias("keys"))
-
-    def again(batches):
-        for b in batches:
-            out = {"key": [], "sub": [], "sid": [], "label": []}
-            for sid, lab, ks, e in zip(b["sid"].to_pylist(), b["_sid"].to_pylist(), b["keys"].to_pylist(), b["elements"], strict=True):
-                for key, sub in subkeys(np.frombuffer(e.as_buffer(), "<u8").astype(np.uint64), np.array(ks, np.int64), num, den):
-                    for c, v in zip(out, (key, sub, sid, lab), strict=True):
-                        out[c].append(v)
-            yield out
-
-    subs = by_batch(large.join(sets.select("sid", "elements"), "sid").select("sid", "_sid", "keys", "elements"), "key long, sub long, sid long, label long", again)
-    subs = stored(subs, "subs")
-    one, two = (subs.select("key", "sub", F.col("sid").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
-    cross = one.join(two, ["key", "sub"]).filter("_a <> _b and a < b").select("a", "b")
-    second = verified(rest.unionByName(cross).distinct(), sets, num, den)
+    rest = labelled(labelled(ordered(found.filter("key is null")).distinct(), "a"), "b").filter("_a <> _b").select("a", "b")
+    large = labelled(found.filter("key is not null").select("key", F.col("b").alias("sid")).distinct(), "sid").withColumnRenamed("_sid", "label")
+    more = rest.unionByName(ordered(tiled(large, sets, num, den)))
+    second = verified(more.distinct(), sets, num, den)
     label = connected(first.unionByName(second))
 
     named = members.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("_c", F.coalesce("label", "sid"))

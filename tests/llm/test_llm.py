@@ -279,6 +279,7 @@ def components_by_brute_force(rows, k, num, den):
 @pytest.mark.parametrize(("limit", "k", "num"), [(24, 4, 85), (2, 1, 50)])
 def test_ngram_join(spark, docs, empty, monkeypatch, limit, k, num):
     monkeypatch.setattr(ngram_join, "SMALL", limit)
+    monkeypatch.setattr(ngram_join, "TILE", 7 if limit == 2 else 4096)
     got = ngram_join.components(docs, k, num, 100).collect()
     assert len(got) == len(corpus())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_brute_force(corpus(), k, num, 100)
