@@ -8,8 +8,8 @@ each segment that isn't empty and one for each two segments that are: linked set
 Sets that share a key are candidates: all pairs of a small group, and for a group of more than SMALL sets each set with the
 group's first. Candidates pass the size bound, then the bound that bitmaps give (a bit set in one only is an element missing
 from the other), then the exact intersection. Links found join components; of larger groups that still span components,
-the sets meet in tiles of at most TILE a side, with a 32-bit short form of each element: within a task, pairs of different
-components pass the bounds by size and bits and then by the short forms, and what is left is verified exactly. So no pair
+the sets meet in tiles of at most TILE a side: within a task, pairs of different components pass the bounds by size and bits
+and then the exact intersection, and a link joins its components at once. So no pair
 that could join two components is left unverified, and a clique of n near copies costs about n comparisons.
 
 Words are runs of other than ASCII white space with A-Z in lower case. Null and empty texts have no shingle and no link; under
@@ -119,8 +119,7 @@ def may_link(n: int, m: int, x: bytes, y: bytes, num: int, den: int) -> bool:
     return most * den >= num * (n + m - most)
 
 
-def links(x: bytes, y: bytes, num: int, den: int) -> bool:
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
     both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
@@ -201,7 +200,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """(sid, n, bits, short, elements) of ``sids``, from one document of each."""
+    """(sid, n, bits, elements) of ``sids``, from one document of each."""
     ids = members.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     ids = stored(ids, "needed")
     small = ids.limit(BROADCAST + 1).count() <= BROADCAST
@@ -213,10 +212,9 @@ def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) ->
             sets = list(shingle_sets(b["text"], k, words))
             # Of rows that share an id only those with the wanted set count.
             keep = [j for j, (s, sid) in enumerate(zip(sets, b["sid"].to_pylist(), strict=True)) if len(s) and set_id(s) == sid]
-            short = [np.unique((sets[j] >> np.uint64(32)).astype("<u4")).tobytes() for j in keep]
-            yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "short": short, "elements": [sets[j].astype("<u8").tobytes() for j in keep]}
+            yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "elements": [sets[j].astype("<u8").tobytes() for j in keep]}
 
-    return stored(by_batch(rows.select("sid", "text"), "sid long, n long, bits binary, short binary, elements binary", work).dropDuplicates(["sid"]), "sets")
+    return stored(by_batch(rows.select("sid", "text"), "sid long, n long, bits binary, elements binary", work).dropDuplicates(["sid"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,7 +231,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def exact(batches):
         for b in batches:
-            keep = [links(x.as_buffer(), y.as_buffer(), num, den) for x, y in zip(b["elements_a"], b["elements_b"], strict=True)]
+            keep = [links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), num, den) for x, y in zip(b["elements_a"], b["elements_b"], strict=True)]
             yield {x: [v for v, ok in zip(b[x].to_pylist(), keep, strict=True) if ok] for x in ("a", "b")}
 
     meta = ["n", "bits"]
@@ -243,17 +241,17 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 class Tile:
-    """Pairs of a key's sets that are of different components and may link by sizes, bits and short forms."""
+    """Links between a key's sets of different components, enough of them to join all that any link joins."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def links(self, sid: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, short: list[np.ndarray]) -> list[tuple[int, int]]:
+    def links(self, sid: np.ndarray, label: np.ndarray, n: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         """``block``: 0 or 1; where both occur only pairs across are looked at, as others have a tile of their own."""
         num, den, out = self.num, self.den, []
         bits = np.zeros((len(sid), TILE_BITS), np.uint8)
-        for j, x in enumerate(short):
-            bits[j, x % TILE_BITS] = 1
+        for j, x in enumerate(sets):
+            bits[j, (x % np.uint64(TILE_BITS)).astype(np.int64)] = 1
         bits = np.packbits(bits, axis=1).view("<u8")
         label = np.unique(label, return_inverse=True)[1]
         across = block.any() and not block.all()
@@ -269,22 +267,20 @@ class Tile:
             for z in y[most * den >= num * (n[x] + n[y] - most)].tolist():
                 if label[z] == label[x]:
                     continue
-                a, b = short[x], short[z]
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                most_ = min(both + int(n[x]) - len(a), both + int(n[z]) - len(b))  # elements that share a short form count as common
-                if most_ * den >= num * (int(n[x]) + int(n[z]) - most_):
+                if links(sets[x], sets[z], num, den):
                     out.append((int(sid[x]), int(sid[z])))
+                    label[label == label[z]] = label[x]
         return out
 
 
 def tiled(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) that may link among the sets of each key of ``large`` (key, sid, label), of different labels."""
+    """(a, b) of links among the sets of each key of ``large`` (key, sid, label), of different labels."""
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
     x = large.join(sizes.select("key", "_blocks"), "key").withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
     # Block i meets each block j: a set goes to as many tiles as there are blocks.
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    x = x.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("block"), "sid", "label").join(sets.select("sid", "n", "short"), "sid")
-    cols = ["key", "i", "j", "block", "sid", "label", "n", "short"]
+    x = x.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("block"), "sid", "label").join(sets.select("sid", "n", "elements"), "sid")
+    cols = ["key", "i", "j", "block", "sid", "label", "n", "elements"]
 
     def work(batches):
         tile, now, held = Tile(num, den), None, []
@@ -293,7 +289,7 @@ def tiled(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             if len(held) < 2:
                 return []
             c = list(zip(*held, strict=True))
-            return tile.links(np.array(c[1]), np.array(c[2]), np.array(c[3]), np.array(c[0]), [np.frombuffer(v, "<u4") for v in c[4]])
+            return tile.links(np.array(c[1]), np.array(c[2]), np.array(c[3]), np.array(c[0]), [np.frombuffer(v, "<u8") for v in c[4]])
 
         for b in batches:
             found = []
@@ -328,8 +324,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
     rest = labelled(labelled(ordered(found.filter("key is null")).distinct(), "a"), "b").filter("_a <> _b").select("a", "b")
     large = labelled(found.filter("key is not null").select("key", F.col("b").alias("sid")).distinct(), "sid").withColumnRenamed("_sid", "label")
-    more = rest.unionByName(ordered(tiled(large, sets, num, den)))
-    second = verified(more.distinct(), sets, num, den)
+    second = verified(rest, sets, num, den).unionByName(tiled(large, sets, num, den))
     label = connected(first.unionByName(second))
 
     named = members.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("_c", F.coalesce("label", "sid"))
