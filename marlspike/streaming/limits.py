@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def token_bucket(requests: DataFrame, by: str, ts: str, capacity: float, per_second: float, idle: float = 120.0) -> DataFrame:
-    """by, seconds, allowed for each request of a stream, bucket state kept by key and dropped when idle.
+    """by, seconds, allowed for each request of a stream, bucket state kept by key; an idle bucket is new again.
 
     Late rows count at the time of the latest row of their key.
     """
@@ -16,9 +16,6 @@ def token_bucket(requests: DataFrame, by: str, ts: str, capacity: float, per_sec
         import pandas as pd
 
         tokens, last = state.get if state.exists else (capacity, None)
-        if state.hasTimedOut:
-            state.remove()
-            return
         out = []
         for t in sorted(x for b in batches for x in b["_s"]):
             if last is not None:
@@ -28,9 +25,8 @@ def token_bucket(requests: DataFrame, by: str, ts: str, capacity: float, per_sec
             out.append((key[0], t, tokens >= 1))
             tokens -= tokens >= 1
         state.update((tokens, last))
-        state.setTimeoutDuration(int(idle * 1000))
         yield pd.DataFrame(out, columns=[by, "seconds", "allowed"])
 
     kind = requests.schema[by].dataType.simpleString()
     rows = requests.select(by, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, seconds double, allowed boolean", "tokens double, last double", "append", "ProcessingTimeTimeout")
+    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, seconds double, allowed boolean", "tokens double, last double", "append", "NoTimeout")
