@@ -190,11 +190,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, top: dict[bytes, int
     A row's key is its id with its number in its task's output, drawn once and stored with the rows it keys.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, top))
+    shared = spark.sparkContext.broadcast(model)
+
+    def rare(batches):
+        m = shared.value
+        for b in batches:
+            c = [x or 0 for x in b["c"].to_pylist()]
+            w = b["word"].to_pylist()
+            yield {"word": w, "known": [int(x > 0) for x in c], "base": [m.base(x) for x in c], "score": [m.word(x, y) for x, y in zip(w, c, strict=True)]}
+
+    scored = "word binary, known long, base double, score double"
+    # The frequent words are scored once, a bounded number of them, and not by every task again.
+    least = min(top.values(), default=0)
+    heads = by_batch(counts.filter(F.col("c") >= least).repartition(8 * spark.sparkContext.defaultParallelism).select("word", "c"), scored, rare).toArrow() if top else None
+    known = {bytes(w): (x, y) for w, x, y in zip(*(heads[c].to_pylist() for c in ("word", "base", "score")), strict=True)} if top else {}
+    frequent = spark.sparkContext.broadcast(known)
 
     def first(batches):
-        m, known = shared.value
-        memo = {w: (m.base(c), None) for w, c in known.items()}
+        m, memo = shared.value, frequent.value
         for b in batches:
             out = {k: [] for k in ("_row", "doc_id", "n", "known", "base", "score", "word")}
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
@@ -207,8 +220,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, top: dict[bytes, int
                         for name, v in zip(out, (row, doc, k, 0, 0.0, 0.0, w), strict=True):
                             out[name].append(v)
                         continue
-                    if got[1] is None:
-                        got = memo[w] = (got[0], m.word(w, known[w]))
                     n += k
                     has += k
                     base += k * got[0]
@@ -217,16 +228,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, top: dict[bytes, int
                     out[name].append(v)
             yield out
 
-    def rare(batches):
-        m, _ = shared.value
-        for b in batches:
-            c = [x or 0 for x in b["c"].to_pylist()]
-            w = b["word"].to_pylist()
-            yield {"word": w, "known": [int(x > 0) for x in c], "base": [m.base(x) for x in c], "score": [m.word(x, y) for x, y in zip(w, c, strict=True)]}
-
     parts = stored(by_batch(docs.select("doc_id", "text"), "_row binary, doc_id long, n long, known long, base double, score double, word binary", first), "parts")
     tail = parts.filter("word is not null").select("_row", "doc_id", "n", "word")
-    lexicon = by_batch(tail.select("word").distinct().join(counts, "word", "left").select("word", "c"), "word binary, known long, base double, score double", rare)
+    lexicon = by_batch(tail.select("word").distinct().join(counts, "word", "left").select("word", "c"), scored, rare)
     tail = tail.join(lexicon, "word").select("_row", "doc_id", "n", (F.col("n") * F.col("known")).alias("known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("score")).alias("score"))
     return (
         parts.filter("word is null").drop("word").unionByName(tail)
