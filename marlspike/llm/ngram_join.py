@@ -19,6 +19,7 @@ empty result. Columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 from itertools import combinations
 
@@ -200,9 +201,11 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """(sid, n, bits, elements) of ``sids``, from one document of each."""
+    """(sid, n, bits, packed) of ``sids``, from one document of each; ``packed`` is its compressed text, far smaller than the set."""
     ids = members.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    ids = stored(ids, "needed")
+    # Only ids of several rows can give a set twice; their rows are few, and only they are compared again.
+    often = members.groupBy("doc_id").agg((F.count("*") > 1).alias("twice"))
+    ids = stored(ids.join(often, "doc_id"), "needed")
     small = ids.limit(BROADCAST + 1).count() <= BROADCAST
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id")
 
@@ -212,12 +215,35 @@ def needed_sets(docs: DataFrame, members: DataFrame, sids: DataFrame, k: int) ->
             sets = list(shingle_sets(b["text"], k, words))
             # Of rows that share an id only those with the wanted set count.
             keep = [j for j, (s, sid) in enumerate(zip(sets, b["sid"].to_pylist(), strict=True)) if len(s) and set_id(s) == sid]
-            yield {"sid": [b["sid"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "elements": [sets[j].astype("<u8").tobytes() for j in keep]}
+            yield {"sid": [b["sid"][j].as_py() for j in keep], "twice": [b["twice"][j].as_py() for j in keep], "n": [len(sets[j]) for j in keep], "bits": [bitmap(sets[j]) for j in keep], "packed": [packed(b["text"][j].as_py()) for j in keep]}
 
-    return stored(by_batch(rows.select("sid", "text"), "sid long, n long, bits binary, elements binary", work).dropDuplicates(["sid"]), "sets")
+    out = stored(by_batch(rows.select("sid", "twice", "text"), "sid long, twice boolean, n long, bits binary, packed binary", work), "sets")
+    again = stored(out.filter("twice").dropDuplicates(["sid"]), "sets_again")
+    return out.filter("not twice").unionByName(again).drop("twice")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def packed(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
+
+
+class Unpacked:
+    """The sets of packed texts; those of the last few hundred asked for are kept, as one set often meets many."""
+
+    def __init__(self, k: int):
+        self.words, self.k, self.held, self.size = Words(clean=lambda t: t), k, {}, 0
+
+    def __call__(self, sid: int, text) -> np.ndarray:
+        s = self.held.get(sid)
+        if s is None:
+            s = np.unique(shingle_hashes(next(self.words.each([zlib.decompress(text.as_buffer())])), self.k))
+            if self.size > 1 << 22:
+                self.held, self.size = {}, 0
+            self.held[sid] = s
+            self.size += len(s)
+        return s
+
+
+def verified(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): first by sizes and bitmaps, then exactly."""
 
     def side(c: str, cols: list[str]) -> DataFrame:
@@ -230,13 +256,15 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield {x: [v for v, ok in zip(c[x], keep, strict=True) if ok] for x in ("a", "b")}
 
     def exact(batches):
+        unpacked = Unpacked(k)
         for b in batches:
-            keep = [links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), num, den) for x, y in zip(b["elements_a"], b["elements_b"], strict=True)]
+            sides = zip(b["a"].to_pylist(), b["packed_a"], b["b"].to_pylist(), b["packed_b"], strict=True)
+            keep = [links(unpacked(a, x), unpacked(c, y), num, den) for a, x, c, y in sides]
             yield {x: [v for v, ok in zip(b[x].to_pylist(), keep, strict=True) if ok] for x in ("a", "b")}
 
     meta = ["n", "bits"]
     few = by_batch(pairs.join(side("a", meta), "a").join(side("b", meta), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), "a long, b long", bound)
-    full = few.join(side("a", ["elements"]), "a").join(side("b", ["elements"]), "b").select("a", "b", "elements_a", "elements_b")
+    full = few.join(side("a", ["packed"]), "a").join(side("b", ["packed"]), "b").select("a", "b", "packed_a", "packed_b")
     return stored(by_batch(full, "a long, b long", exact), "links")
 
 
@@ -273,31 +301,31 @@ class Tile:
         return out
 
 
-def tiled(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def tiled(large: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) of links among the sets of each key of ``large`` (key, sid, label), of different labels."""
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
     x = large.join(sizes.select("key", "_blocks"), "key").withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
     # Block i meets each block j: a set goes to as many tiles as there are blocks.
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    x = x.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("block"), "sid", "label").join(sets.select("sid", "n", "elements"), "sid")
-    cols = ["key", "i", "j", "block", "sid", "label", "n", "elements"]
+    x = x.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).cast("int").alias("block"), "sid", "label").join(sets.select("sid", "n", "packed"), "sid")
+    cols = ["key", "i", "j", "block", "sid", "label", "n", "packed"]
 
     def work(batches):
-        tile, now, held = Tile(num, den), None, []
+        tile, unpacked, now, held = Tile(num, den), Unpacked(k), None, []
 
         def close():
             if len(held) < 2:
                 return []
             c = list(zip(*held, strict=True))
-            return tile.links(np.array(c[1]), np.array(c[2]), np.array(c[3]), np.array(c[0]), [np.frombuffer(v, "<u8") for v in c[4]])
+            return tile.links(np.array(c[1]), np.array(c[2]), np.array(c[3]), np.array(c[0]), [unpacked(i, v) for i, v in zip(c[1], c[4], strict=True)])
 
         for b in batches:
             found = []
-            c = {k: b[k].to_pylist() for k in cols}
-            for k, i, j, *row in zip(*(c[k] for k in cols), strict=True):
-                if (k, i, j) != now:
+            c = [b[x] if x == "packed" else b[x].to_pylist() for x in cols]
+            for key, i, j, *row in zip(*c, strict=True):
+                if (key, i, j) != now:
                     found += close()
-                    now, held = (k, i, j), []
+                    now, held = (key, i, j), []
                 held.append(row)
             yield {"a": [p[0] for p in found], "b": [p[1] for p in found]}
         found = close()
@@ -316,7 +344,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     # One candidate for each set first: most others then lie inside a component and need no look.
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = ordered(found.filter("a <> b"))
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, num, den)
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, k, num, den)
     label = stored(connected(first), "labels")
 
     def labelled(df: DataFrame, c: str) -> DataFrame:
@@ -324,7 +352,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
     rest = labelled(labelled(ordered(found.filter("key is null")).distinct(), "a"), "b").filter("_a <> _b").select("a", "b")
     large = labelled(found.filter("key is not null").select("key", F.col("b").alias("sid")).distinct(), "sid").withColumnRenamed("_sid", "label")
-    second = verified(rest, sets, num, den).unionByName(tiled(large, sets, num, den))
+    second = verified(rest, sets, k, num, den).unionByName(tiled(large, sets, k, num, den))
     label = connected(first.unionByName(second))
 
     named = members.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("_c", F.coalesce("label", "sid"))
