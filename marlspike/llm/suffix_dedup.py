@@ -35,7 +35,7 @@ GRAM = 32
 CHUNK = 1 << 21
 #: Bytes of regions in a shard.
 SHARD = 8 << 20
-#: Rows that may travel to all tasks; beyond it they are joined by shuffle.
+#: Ids of whole copies that may travel to all tasks; beyond it they are joined by shuffle.
 BROADCAST = 1_000_000
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
@@ -165,7 +165,6 @@ def repeated(runs: DataFrame) -> DataFrame:
 
 def regions(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` (h, doc_id, at, n) with the bytes of their regions."""
-    small = runs.limit(BROADCAST + 1).count() <= BROADCAST
     wanted = runs.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
 
     def work(batches):
@@ -178,7 +177,7 @@ def regions(docs: DataFrame, runs: DataFrame) -> DataFrame:
                         out[c].append(v)
             yield out
 
-    both = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
+    both = docs.select("doc_id", "text").join(wanted, "doc_id")
     return by_batch(both, "h long, doc_id long, at long, n long, region binary", work)
 
 
@@ -264,9 +263,8 @@ def removed(docs: DataFrame) -> DataFrame:
     by_sort = sorted_repeats(regions(single, ship), shards)
     marks = runs.filter("h is null").unionByName(found.filter("h is null"), allowMissingColumns=True).select("doc_id", "at", "n").unionByName(by_sort)
     marks = stored(marks, "marks")
-    few = marks.limit(BROADCAST + 1).count() <= BROADCAST
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return own.join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    return own.join(marks, "doc_id", "left")
 
 
 def cut(raw: bytes, at: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
