@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Collection
 from typing import NamedTuple
 
 import numpy as np
@@ -73,30 +73,28 @@ class Machine(NamedTuple):
         return y
 
 
-def fit(rows: list[tuple[set[int], int]], factors: int = FACTORS, terms_kept: int = TERMS, epochs: int = 30, seed: int = 7) -> Machine:
-    """Fits on rows of (hashed terms, label) by AdaGrad on mini-batches; deterministic for the same rows in any order."""
-    rows = sorted(rows, key=lambda r: (r[1], len(r[0]), sum(r[0])))
+def fit(rows: list[tuple[Collection[int], int]], factors: int = FACTORS, terms_kept: int = TERMS, epochs: int = 30, seed: int = 7) -> Machine:
+    """Fits on rows of (distinct hashed terms, label) by AdaGrad on mini-batches; deterministic for the same rows in any order."""
+    rows = sorted(((np.fromiter(t, np.int32, len(t)), label) for t, label in rows), key=lambda r: (r[1], len(r[0]), int(r[0].sum(dtype=np.int64))))
     y = np.array([r[1] for r in rows], float)
     pos, neg = y.sum(), len(y) - y.sum()
     base = float(np.log((pos + 0.5) / (neg + 0.5)))
     empty = Machine({}, base, np.zeros(0), np.zeros((0, factors)))
     if not pos or not neg:
         return empty
-    df: list[Counter] = [Counter(), Counter()]
-    for t, label in rows:
-        df[label].update(t)
-    kept = []
-    for t in df[0].keys() | df[1].keys():
-        a, b = df[1][t], df[0][t]
-        if a + b >= 3:
-            p, q = a / pos, b / neg
-            m = (a + b) / (pos + neg)
-            kept.append((-(p - q) ** 2 / (m * (1 - m) * (1 / pos + 1 / neg) + 1e-9), t))
+    # Rows are ordered by label: those of label 0 come first.
+    a, b = (np.bincount(np.concatenate([r[0] for r in part]), minlength=1 << BITS) for part in (rows[int(neg) :], rows[: int(neg)]))
+    t = np.flatnonzero(a + b >= 3)
+    m = (a[t] + b[t]) / (pos + neg)
+    s = -((a[t] / pos - b[t] / neg) ** 2) / (m * (1 - m) * (1 / pos + 1 / neg) + 1e-9)
     # Of a z-score under 3.5 many terms of clean rows would be kept by chance.
-    index = {t: j for j, (s, t) in enumerate(sorted(kept)[:terms_kept]) if s < -12}
+    kept = [int(t[j]) for j in np.lexsort((t, s))[:terms_kept] if s[j] < -12]
+    index = {term: j for j, term in enumerate(kept)}
     if not index:
         return empty
-    ids = [np.array(sorted(index[t] for t in r if t in index), np.int64) for r, _ in rows]
+    place = np.full(1 << BITS, -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    ids = [np.sort(x[x >= 0]) for x in (place[r[0]] for r in rows)]
     rng = np.random.default_rng(seed)
     k = len(index)
     w0, w, v = base, np.zeros(k), rng.normal(0, 0.01, (k, factors))
@@ -145,7 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield {"toxic": b["toxic"], "terms": [sorted(terms(t.as_py(), h)) for t in b["text"]]}
 
     got = by_batch(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"), "toxic int, terms array<int>", work).toArrow()
-    return fit([(set(t), int(y > 0)) for y, t in zip(got["toxic"].to_pylist(), got["terms"].to_pylist(), strict=True)])
+    # Arrays over the Arrow buffer, as lists of numbers would take many times its bytes.
+    lists = got["terms"].combine_chunks()
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return fit([(flat[lo:hi], int(y > 0)) for y, lo, hi in zip(got["toxic"].to_pylist(), at[:-1], at[1:], strict=True)])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
