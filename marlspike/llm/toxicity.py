@@ -31,6 +31,8 @@ BITS = 20
 SAMPLE = 16_000
 TERMS = 4096
 FACTORS = 8
+#: Documents scored at a time.
+ROWS = 256
 THRESHOLD = 0.3
 _TERM = re.compile(r"[^\W\d_]+").findall
 
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     def work(batches):
         h = TermHash()
         for b in batches:
-            yield {"toxic": b["toxic"], "terms": [sorted(terms(t.as_py(), h)) for t in b["text"]]}
+            yield {"toxic": b["toxic"], "terms": [np.array(sorted(terms(t.as_py(), h)), np.int32) for t in b["text"]]}
 
     got = by_batch(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"), "toxic int, terms array<int>", work).toArrow()
     # Arrays over the Arrow buffer, as lists of numbers would take many times its bytes.
@@ -157,7 +159,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def work(batches):
         h = TermHash()
         for b in batches:
-            yield {k: v for k, v in b.items()} | {"score": shared.value.scores([terms(t.as_py(), h) for t in b["text"]])}
+            # A batch's sets of terms would take many times its texts, so few rows at a time have theirs.
+            parts = [b["text"][lo : lo + ROWS] for lo in range(0, len(b["text"]), ROWS)]
+            yield b | {"score": np.concatenate([np.zeros(0), *(shared.value.scores([terms(t.as_py(), h) for t in p]) for p in parts)])}
 
     return by_batch(docs, schema_text(docs) + ", score double", work)
 
