@@ -34,6 +34,8 @@ SMALL = 24
 TILE = 4096
 #: Bits of a set's bitmap within a tile.
 TILE_BITS = 2048
+#: Keys given out at a time.
+ROWS = 250_000
 #: A set of row numbers may travel to all tasks up to this size; beyond it rows are joined by shuffle.
 BROADCAST = 2_000_000
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -145,7 +147,7 @@ def key_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def work(batches):
         words, seen = Words(), set()
         for b in batches:
-            ks, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ks, ids, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             for s in shingle_sets(b["text"], k, words):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
@@ -154,6 +156,10 @@ def key_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 seen.add(sid)
                 ks.append(keys(s, num, den))
                 ids.append(np.full(len(ks[-1]), sid, np.int64))
+                held += len(ks[-1])
+                if held > ROWS:
+                    yield {"key": np.concatenate(ks), "sid": np.concatenate(ids)}
+                    ks, ids, held = ks[:1], ids[:1], 0
             yield {"key": np.concatenate(ks), "sid": np.concatenate(ids)}
 
     return by_batch(docs.select("text"), "key long, sid long", work)
