@@ -332,8 +332,8 @@ query("j6_keyed_replay", f"SELECT o_orderkey, o_orderstatus AS value FROM ({_REV
 def _sequences(s, d):
     w = F.split(F.coalesce("text", F.lit("")), " ")
     k = F.floor(F.size("a") / 3).cast("int")
-    x = table(s, d, "documents").select("doc_id", F.slice(w, 1, 300).alias("a"))
-    return x.withColumn("b", F.concat(F.slice("a", F.lit(1), k), F.array(F.lit("\x00new")), F.slice("a", k + 3, F.lit(400))))
+    x = table(s, d, "documents").select("doc_id", w.alias("a"))
+    return x.withColumn("b", F.concat(F.slice("a", F.lit(1), k), F.array(F.lit("\x00new")), F.slice("a", k + 3, F.size("a"))))
 
 
 query("j4_sequence_script", "SELECT doc_id, CAST(k AS INTEGER) AS prefix, CAST(CASE WHEN n - k >= 1 THEN 1 ELSE 0 END AS INTEGER) AS replaced, CAST(CASE WHEN n - k >= 2 THEN 1 ELSE 0 END AS INTEGER) AS removed, CAST(CASE WHEN n - k = 0 THEN 1 ELSE 0 END AS INTEGER) AS inserted FROM (SELECT doc_id, len(a) AS n, len(a) // 3 AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ')[1:300] AS a FROM documents))")(
