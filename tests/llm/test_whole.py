@@ -1,0 +1,20 @@
+"""What operators once left out: each on a small table where it counts."""
+
+import hashlib
+
+import pytest
+
+from marlspike.llm import line_dedup
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST, 0])
+def test_shared_lines_go_from_documents_that_are_mostly_shared(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup.strip, "__defaults__", (*line_dedup.strip.__defaults__[:-1], broadcast))
+    texts = [f"the header of every page\nbody number {i} of one page\nthe footer of every page" for i in range(6)] + ["the header of every page"]
+    docs = spark.createDataFrame([(i, t, f"site{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.op6(docs).collect()}
+    assert got == {i: (3, 2, sha(f"body number {i} of one page")) for i in range(6)} | {6: (1, 1, sha(""))}
