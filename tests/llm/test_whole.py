@@ -18,3 +18,11 @@ def test_shared_lines_go_from_documents_that_are_mostly_shared(spark, monkeypatc
     docs = spark.createDataFrame([(i, t, f"site{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r.doc_id: tuple(r)[1:] for r in line_dedup.op6(docs).collect()}
     assert got == {i: (3, 2, sha(f"body number {i} of one page")) for i in range(6)} | {6: (1, 1, sha(""))}
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST, 0])
+def test_short_shared_lines_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup.strip, "__defaults__", (*line_dedup.strip.__defaults__[:-1], broadcast))
+    docs = spark.createDataFrame([(i, f"Menu\n\nbody number {i} of one page\n  \nAll rights reserved.", f"site{i}") for i in range(6)], "doc_id long, text string, source string")
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.op6(docs).collect()}
+    assert got == {i: (5, 2, sha(f"\nbody number {i} of one page\n  ")) for i in range(6)}
