@@ -25,7 +25,6 @@ import uuid
 from collections import Counter
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +34,8 @@ HEAD = 200_000
 LN10 = math.log(10)
 #: Log probability of a byte that no piece covers, per byte.
 BYTE = math.log(1e-4 / 256)
+#: Words of more characters take logarithms in the forward-backward pass.
+SHORT = 40
 
 
 class Pieces(NamedTuple):
@@ -57,20 +58,6 @@ def vocabulary(path: str) -> Pieces:
     return Pieces({k: math.log(v / total * 0.9999) for k, v in weights.items()}, max(map(len, weights)))
 
 
-def edges(word: str, p: Pieces) -> list[list[tuple[int, float, str]]]:
-    """For each end position, the edges (start, log weight, piece); a character that is no piece falls back to bytes."""
-    out: list[list[tuple[int, float, str]]] = [[] for _ in range(len(word) + 1)]
-    get = p.logp.get
-    for i in range(len(word)):
-        for j in range(i + 1, min(len(word), i + p.longest) + 1):
-            w = get(word[i:j])
-            if w is not None:
-                out[j].append((i, w, word[i:j]))
-        if get(word[i]) is None:
-            out[i + 1].append((i, BYTE * len(word[i].encode("utf-8", "surrogatepass")), ""))
-    return out
-
-
 def forward(word: str, p: Pieces) -> float:
     """Natural log of the sum over all segmentations of the product of their pieces' weights."""
     get, longest, n = p.logp.get, p.longest, len(word)
@@ -93,25 +80,102 @@ def spelled(word: bytes) -> str:
     return "▁" + word.decode("utf-8", "surrogatepass")
 
 
-def expected(word: str, count: float, p: Pieces, into: Counter) -> None:
-    """Adds the expected number of uses of each piece in ``count`` copies of the word."""
-    back = edges(word, p)
-    n = len(word)
-    alpha = np.full(n + 1, -np.inf)
-    beta = np.full(n + 1, -np.inf)
-    alpha[0] = beta[n] = 0.0
-    for j in range(1, n + 1):
-        for i, w, _ in back[j]:
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + w)
-    for j in range(n, 0, -1):
-        for i, w, _ in back[j]:
-            beta[i] = np.logaddexp(beta[i], beta[j] + w)
-    for j in range(1, n + 1):
-        for i, w, piece in back[j]:
+def prefixes(p: Pieces) -> dict[str, float]:
+    """Each piece with its weight, and each prefix of one that is no piece itself with 0."""
+    out = {k[:n]: 0.0 for k in p.logp for n in range(1, len(k))}
+    return out | {k: math.exp(w) for k, w in p.logp.items()}
+
+
+def expected(word: str, count: float, p: Pieces, into: Counter, ways: dict[str, float] | None = None) -> None:
+    """Adds the expected number of uses of each piece in ``count`` copies of the word; ``ways`` are ``prefixes(p)``."""
+    ways = prefixes(p) if ways is None else ways
+    if len(word) > SHORT or not _expected_short(word, count, p, into, ways):
+        _expected_long(word, count, p, into, ways)
+
+
+def _byte(c: str) -> float:
+    return BYTE * len(c.encode("utf-8", "surrogatepass"))
+
+
+def _expected_short(word: str, count: float, p: Pieces, into: Counter, ways: dict[str, float]) -> bool:
+    """Without logarithms; false, with nothing added, where the word's probability is too small for that."""
+    get, n = ways.get, len(word)
+    alpha, steps = [1.0] + [0.0] * n, []
+    for i in range(n):
+        a, own = alpha[i], []
+        for j in range(i + 1, n + 1):
+            w = get(piece := word[i:j])
+            if w is None:
+                break
+            if w:
+                own.append((j, w, piece))
+                alpha[j] += a * w
+        if not own or own[0][0] > i + 1:
+            w = math.exp(_byte(word[i]))
+            own.append((i + 1, w, ""))
+            alpha[i + 1] += a * w
+        steps.append(own)
+    if alpha[n] < 1e-250:
+        return False
+    beta = [0.0] * n + [count / alpha[n]]
+    for i in range(n - 1, -1, -1):
+        a, total = alpha[i], 0.0
+        for j, w, piece in steps[i]:
+            t = w * beta[j]
+            total += t
+            if piece:
+                into[piece] += a * t
+        beta[i] = total
+    return True
+
+
+def _expected_long(word: str, count: float, p: Pieces, into: Counter, ways: dict[str, float]) -> None:
+    """In log space, in memory of a few numbers for each character."""
+    logp, n = p.logp, len(word)
+
+    def steps(i):
+        single = False
+        for j in range(i + 1, n + 1):
+            if (piece := word[i:j]) not in ways:
+                break
+            if (w := logp.get(piece)) is not None:
+                single |= j == i + 1
+                yield j, w, piece
+        if not single:
+            yield i + 1, _byte(word[i]), ""
+
+    def plus(x, y):
+        hi, lo = (x, y) if x > y else (y, x)
+        return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i in range(n):
+        for j, w, _ in steps(i):
+            alpha[j] = plus(alpha[j], alpha[i] + w)
+    for i in range(n - 1, -1, -1):
+        for j, w, piece in steps(i):
+            beta[i] = plus(beta[i], w + beta[j])
             if piece:
                 into[piece] += count * math.exp(alpha[i] + w + beta[j] - alpha[n])
 
 
+def piece_uses(counts: DataFrame, p: Pieces) -> dict[str, float]:
+    """Expected uses of each piece over the whole table (word, c): summed in each task, then by piece."""
+    sc = counts.sparkSession.sparkContext
+    shared = sc.broadcast(p)
+
+    def work(batches):
+        p, into = shared.value, Counter()
+        ways = prefixes(p)
+        for b in batches:
+            for w, c in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True):
+                expected(spelled(w), c, p, into, ways)
+        yield {"piece": list(into), "uses": list(into.values())}
+
+    parts = by_batch(counts.select("word", "c").repartition(8 * sc.defaultParallelism), "piece string, uses double", work)
+    return {r["piece"]: r["uses"] for r in parts.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, c long) over column ``text``; summed within a task first, in bounded memory."""
 
@@ -154,11 +218,10 @@ class Model(NamedTuple):
         return math.log10(max(self.ends, 0.5) / (self.tokens + 1)) if self.tokens else 0.0
 
 
-def train(train_docs: DataFrame, model_path: str, em_words: int = 20_000, head: int = HEAD) -> tuple[Model, DataFrame, dict[bytes, int]]:
+def train(train_docs: DataFrame, model_path: str, head: int = HEAD) -> tuple[Model, DataFrame, dict[bytes, int]]:
     """The model, the table (word, c) of every training word, and its ``head`` most frequent words.
 
-    The piece weights are re-estimated on the ``em_words`` most frequent words (a classifier-like fit on a bounded
-    sample); all counts, N, V and the discount are of the whole corpus.
+    The piece weights are re-estimated on all training words; all counts, N, V and the discount are of the whole corpus too.
     """
     counts = stored(word_counts(train_docs), "words")
     ends = train_docs.count()
@@ -174,10 +237,7 @@ def train(train_docs: DataFrame, model_path: str, em_words: int = 20_000, head:
         least, got = k, got + spread[k]
     top = {bytes(w): int(c) for w, c in zip(*(x.to_pylist() for x in counts.filter(F.col("c") >= least).toArrow().columns), strict=True)} if got else {}
     p = vocabulary(model_path)
-    uses: Counter = Counter()
-    for w in sorted(top, key=lambda w: (-top[w], w))[:em_words]:
-        if len(w) <= 64:
-            expected(spelled(w), top[w], p, uses)
+    uses = piece_uses(counts, p)
     if uses:
         mass = sum(uses.values()) + 0.01 * len(p.logp)
         p = Pieces({k: math.log((uses.get(k, 0.0) + 0.01) / mass * 0.9999) for k in p.logp}, p.longest)

@@ -1,10 +1,13 @@
 """What operators once left out: each on a small table where it counts."""
 
 import hashlib
+import math
+from collections import Counter
 
 import pytest
 
-from marlspike.llm import line_dedup
+from marlspike.llm import line_dedup, lm_scoring
+from marlspike.llm.queries import vocabulary_file
 
 
 def sha(text):
@@ -26,3 +29,21 @@ def test_short_shared_lines_go(spark, monkeypatch, broadcast):
     docs = spark.createDataFrame([(i, f"Menu\n\nbody number {i} of one page\n  \nAll rights reserved.", f"site{i}") for i in range(6)], "doc_id long, text string, source string")
     got = {r.doc_id: tuple(r)[1:] for r in line_dedup.op6(docs).collect()}
     assert got == {i: (5, 2, sha(f"\nbody number {i} of one page\n  ")) for i in range(6)}
+
+
+def test_piece_weights_come_from_all_words(spark):
+    """Also from words beyond the most frequent 20,000, and from those of over 64 bytes."""
+    path = vocabulary_file("piece_bpe_32k.model")
+    start = lm_scoring.vocabulary(path)
+    words = {f"{k:x}q" for k in range(20_500)} | {"東京" * 40, "東京" * 400, "internationalisation" * 9}
+    texts = [(k, " ".join([w] * (1 if w.endswith("3q") or len(w) > 20 else 2))) for k, w in enumerate(sorted(words))]
+    model, _, _ = lm_scoring.train(spark.createDataFrame(texts, "doc_id long, text string"), path)
+    uses = Counter()
+    ways = lm_scoring.prefixes(start)
+    for _, t in texts:
+        for w, n in Counter(lm_scoring.words_of(t)).items():
+            lm_scoring._expected_long(lm_scoring.spelled(w), n, start, uses, ways)
+    mass = sum(uses.values()) + 0.01 * len(start.logp)
+    want = {k: math.log((uses.get(k, 0.0) + 0.01) / mass * 0.9999) for k in start.logp}
+    assert model.pieces.logp == pytest.approx(want, rel=1e-9)
+    assert uses["東京"] > 100 or uses["東"] > 100
