@@ -6,8 +6,10 @@ cut into four blocks of 16 bits: two fingerprints within RADIUS differ by at mos
 items within RADIUS are found. Those are verified by the exact weighted Jaccard similarity of the shingle sets, where a
 shingle weighs ln(1 + items / items that hold it).
 
-The benchmark is searched in slices of at most ``SLICE`` items; a slice is what a task holds. Documents are scanned whole
-and need no shuffle.
+The benchmark is searched in slices of about ``SLICE`` items; a slice is what a task holds. Item and shingle counts are of
+the whole benchmark, so results don't depend on the slices: with its slice a task gets the count of every shingle that two
+items or more hold, whichever slice they are in; one that a single item holds weighs as much as one that none holds.
+Documents are scanned whole and need no shuffle.
 
 Words are runs of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. Null, empty texts and items match nothing; a text or item
 of under five words is one shingle as a whole, and a window is never longer than its document. Repeated rows of documents
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, schema_text, shingle_hashes
+from .common import Words, by_batch, schema_text, shingle_hashes, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -56,9 +58,13 @@ def fold(sums: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """A slice's shingles, weights, fingerprints and multi-index."""
+    """A slice's shingles, weights, fingerprints and multi-index.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``total`` is the number of items with words and ``common`` the sorted shingles that at least two of them hold, with their
+    counts, both of the whole benchmark; without them the slice is the benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], total: int | None = None, common: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.length, self.sets, all_hashes = [], [], [], []
         for (item, _), h in zip(items, word_hashes(t for _, t in items), strict=True):
             if len(h):
@@ -67,7 +73,7 @@ class Benchmark:
                 self.length.append(len(h))
                 self.sets.append(frozenset(s.tolist()))
                 all_hashes.append(s)
-        n = len(self.ids)
+        n = len(self.ids) if total is None else total
         df: dict[int, list[int]] = {}
         for j, s in enumerate(self.sets):
             for x in s:
@@ -77,10 +83,14 @@ class Benchmark:
         self.maybe = np.zeros(1 << 22, bool)  # by a shingle's low bits, whether an item may hold it
         self.maybe[(self.known & np.uint64(0x3FFFFF)).astype(np.int64)] = True
         self.unseen = math.log(1 + n) if n else 1.0
-        self.weight = {x: math.log(1 + n / len(v)) for x, v in df.items()}
+        self.common, held = common or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        each, place = np.unique(held, return_inverse=True)
+        self.common_weight = np.array([math.log(1 + n / int(k)) for k in each])[place]
+        self.common_fixed = np.array([round(x * 256) for x in self.common_weight.tolist()], np.int64)
+        self.weight = {x: math.log(1 + n / len(v)) for x, v in df.items()} if common is None else {x: self.elsewhere(x) for x in df}
         self.fixed = np.array([round(self.weight[int(x)] * 256) for x in self.known], np.int64)
         self.mass = [sum(self.weight[x] for x in s) for s in self.sets]
-        self.prints = np.concatenate([fold((bits(s) * self.fixed_of(s)[:, None]).sum(axis=0, keepdims=True)) for s in all_hashes]) if n else np.zeros(0, np.uint64)
+        self.prints = np.concatenate([fold((bits(s) * self.fixed_of(s)[:, None]).sum(axis=0, keepdims=True)) for s in all_hashes]) if self.ids else np.zeros(0, np.uint64)
         self.near = RADIUS // BLOCKS
         self.masks = np.array([0] + [sum(1 << b for b in c) for r in range(1, self.near + 1) for c in combinations(range(16), r)], np.uint64)
         self.index = []
@@ -91,12 +101,21 @@ class Benchmark:
 
     def fixed_of(self, s: np.ndarray) -> np.ndarray:
         out = np.full(len(s), round(self.unseen * 256), np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-            hit = self.known[at] == s
-            out[hit] = self.fixed[at[hit]]
+        for keys, fixed in ((self.common, self.common_fixed), (self.known, self.fixed)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                hit = keys[at] == s
+                out[hit] = fixed[at[hit]]
         return out
 
+    def elsewhere(self, x: int) -> float:
+        """Weight of a shingle by the counts of the whole benchmark."""
+        if len(self.common):
+            at = int(np.searchsorted(self.common, np.uint64(x)))
+            if at < len(self.common) and int(self.common[at]) == x:
+                return float(self.common_weight[at])
+        return self.unseen
+
     def within(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(row of ``prints``, item) of every pair within RADIUS bits, by way of the blocks."""
         found = set()
@@ -119,7 +138,7 @@ class Benchmark:
     def similarity(self, window: set[int], j: int) -> float:
         item, w = self.sets[j], self.weight
         both = sum(w[x] for x in window & item)
-        own = sum(w.get(x, self.unseen) for x in window)
+        own = sum(w[x] if x in w else self.elsewhere(x) for x in window)
         return both / (own + self.mass[j] - both) if both else 0.0
 
     def hits(self, s: np.ndarray) -> np.ndarray:
@@ -166,14 +185,34 @@ class Benchmark:
         return [(self.ids[j], -at, -size, sim) for j, (sim, at, size) in sorted(best.items())]
 
 
+def _counts(items: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """How many items have words, and the shingles of at least two of them, sorted, with their counts."""
+
+    def work(batches):
+        for b in batches:
+            for h in word_hashes(t.as_py() for t in b["text"]):
+                if len(h):
+                    s = np.unique(shingle_hashes(h, WIDTH))
+                    yield {"x": s.view(np.int64), "first": np.arange(len(s)) == 0}
+
+    held = by_batch(items.select("text"), "x long, first boolean", work).groupBy("x").agg(F.count("*").alias("n"), F.count_if("first").alias("items"))
+    held = stored(held, "shingles")
+    total = held.agg(F.sum("items")).head()[0] or 0
+    got = held.filter("n > 1").select("x", "n").toArrow()
+    x, n = got["x"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(x)
+    return total, (x[order], n[order])
+
+
 def _slices(benchmark: DataFrame, slice_items: int):
-    """Broadcasts of the items, ``slice_items`` or about that many at a time."""
+    """Broadcasts of what ``Benchmark`` takes, ``slice_items`` items or about that many at a time."""
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.filter("text is not null").select("item_id", "text")
     slices = max(1, math.ceil(items.count() / slice_items))
+    counts = _counts(items) if slices > 1 else ()
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
-        yield sc.broadcast(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        yield sc.broadcast((sorted((r["item_id"], r["text"]) for r in part.collect()), *counts))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, slice_items: int = SLICE) -> DataFrame:
@@ -183,7 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, sl
     for shared in _slices(benchmark, slice_items):
 
         def work(batches, shared=shared):
-            bench = Benchmark(shared.value)
+            bench = Benchmark(*shared.value)
             for b in batches:
                 got = {c: [] for c in ("doc_id", "item_id", "start", "n_words", "similarity")}
                 for doc, h in zip(b["doc_id"].to_pylist(), word_hashes(t.as_py() for t in b["text"]), strict=True):
@@ -202,7 +241,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMI
     for shared in _slices(benchmark, slice_items):
 
         def work(batches, shared=shared):
-            bench = Benchmark(shared.value)
+            bench = Benchmark(*shared.value)
             for b in batches:
                 clean_ = [not bench.search(h, least) for h in word_hashes(t.as_py() for t in b["text"])]
                 yield {c: v.filter(pa.array(clean_, pa.bool_())) for c, v in b.items()}

@@ -2,11 +2,12 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
 
-from marlspike.llm import line_dedup, lm_scoring
+from marlspike.llm import decontaminate, line_dedup, lm_scoring
 from marlspike.llm.queries import vocabulary_file
 
 
@@ -47,3 +48,23 @@ def test_piece_weights_come_from_all_words(spark):
     want = {k: math.log((uses.get(k, 0.0) + 0.01) / mass * 0.9999) for k in start.logp}
     assert model.pieces.logp == pytest.approx(want, rel=1e-9)
     assert uses["東京"] > 100 or uses["東"] > 100
+
+
+def test_decontamination_does_not_depend_on_slices(spark):
+    """Items share templates, and windows mix passages of several items, also of other slices."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    templates = [[word() for _ in range(20)] for _ in range(4)]
+    items = [(i, " ".join(templates[i % 4] + [word() for _ in range(14)])) for i in range(40)] + [(40, ""), (41, None), (7, "one two three four five six")]
+    texts = []
+    for i in range(40):
+        w = items[i][1].split()
+        for cut in range(1, 6):
+            texts.append(" ".join(w[:-cut] + templates[(i + 1) % 4][:cut] + templates[(i + 2) % 4][5:15]))
+            texts.append(" ".join(w[:-cut] + [word() for _ in range(cut)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted((*r[:4], round(r.similarity, 9)) for r in decontaminate.matches(docs, bench, slice_items=k).collect()) for k in (20_000, 15, 4)]
+    assert got[0] and got[0] == got[1] == got[2]
+    kept = [sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, slice_items=k).collect()) for k in (20_000, 15)]
+    assert kept[0] == kept[1] == sorted(set(range(len(texts))) - {r[0] for r in got[0]}) and kept[0]
