@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact verification.
 
 A document's candidate windows are those as long as an item that share a five-word shingle with it: any other window has
-similarity 0 to it, so nothing is lost. Each window's 64-bit SimHash is looked up in an index of the items' fingerprints
+similarity 0 to it, so nothing is lost. An item of under five words is one shingle as a whole and is looked up among the
+document's windows of as many words, where it matches only its equal. Each window's 64-bit SimHash is looked up in an index of the items' fingerprints
 cut into four blocks of 16 bits: two fingerprints within RADIUS differ by at most RADIUS // 4 bits in some block, so all
 items within RADIUS are found. Those are verified by the exact weighted Jaccard similarity of the shingle sets, where a
 shingle weighs ln(1 + items / items that hold it).
@@ -73,6 +74,11 @@ class Benchmark:
                 self.length.append(len(h))
                 self.sets.append(frozenset(s.tolist()))
                 all_hashes.append(s)
+        #: Number of words -> shingle -> items of that many words, under WIDTH of them.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for j, (k, s) in enumerate(zip(self.length, self.sets, strict=True)):
+            if k < WIDTH:
+                self.short.setdefault(k, {}).setdefault(*s, []).append(j)
         n = len(self.ids) if total is None else total
         df: dict[int, list[int]] = {}
         for j, s in enumerate(self.sets):
@@ -163,9 +169,13 @@ class Benchmark:
             return []
         s = shingle_hashes(h, WIDTH)
         hits = self.hits(s)
-        if not len(hits):
-            return []
         best: dict[int, tuple[float, int, int]] = {}
+        for k, items in self.short.items():
+            if len(h) >= k and least <= 1:
+                g = shingle_hashes(h, k)
+                for at in np.flatnonzero(np.isin(g, np.fromiter(items, np.uint64, len(items)))).tolist():
+                    for j in items[int(g[at])]:
+                        best.setdefault(j, (1.0, -at, -k))
         for size, starts in self.starts(len(h), s, hits).items():
             span = max(1, size - WIDTH + 1)
             lo, hi = int(starts[0]), int(starts[-1]) + span

@@ -68,3 +68,13 @@ def test_decontamination_does_not_depend_on_slices(spark):
     assert got[0] and got[0] == got[1] == got[2]
     kept = [sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, slice_items=k).collect()) for k in (20_000, 15)]
     assert kept[0] == kept[1] == sorted(set(range(len(texts))) - {r[0] for r in got[0]}) and kept[0]
+
+
+@pytest.mark.parametrize("slice_items", [20_000, 1])
+def test_short_items_match_within_longer_texts(spark, slice_items):
+    bench = spark.createDataFrame([(1, "Blue whale"), (2, "cat"), (3, "a b c d"), (4, "no such words"), (5, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "the big blue, whale and a blue whale sang"), (11, "cat"), (12, "x a b c d e cats"), (13, "blue and whale"), (14, None), (15, "zero one two three four five")], "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.matches(docs, bench, slice_items=slice_items).collect()))
+    assert got == [(10, 1, 2, 2, 1.0), (11, 2, 0, 1, 1.0), (12, 3, 1, 4, 1.0), (15, 5, 1, 5, 1.0)]
+    kept = decontaminate.drop_contaminated(docs, bench, slice_items=slice_items).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [13, 14]
