@@ -6,8 +6,8 @@ monotone priority queue on disk. A queue's tuples carry the suffix and its commo
 is one more than the least common prefix over the inducing suffixes between the two.
 
 The sampled suffixes (leftmost of type S) are sorted by naming their substrings and ordering the reduced string of names
-by prefix doubling; all others are induced from them in two scans. Memory holds one block of a queue, the counts of each
-symbol, and the sample (about 2/7 of the text's suffixes, 24 bytes each).
+by prefix doubling; all others are induced from them in two scans. Memory holds a bucket of a queue, the counts of each
+symbol, the sample (about 2/7 of the text's suffixes, 24 bytes each), and the types and wanted masks of the whole text.
 
 Symbols are 16-bit numbers; common prefixes are counted up to ``cap``. Separators are symbol 0; beyond a separator order and
 common prefixes are those of the whole text.

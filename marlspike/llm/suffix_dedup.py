@@ -7,8 +7,8 @@
    Equal regions are copies: all but the first are removed without sorting; a task settles the copies among its own rows
    before any shuffle.
 3. Distinct regions of strings that occur more than once meet in shards by the string. A shard is one text; its suffix and
-   common-prefix arrays come from external induced sorting (``induced_sort``) with queues in scratch files of the task, so
-   it may be larger than memory. In each run of suffixes with a common prefix of LENGTH or more all but the earliest repeat.
+   common-prefix arrays come from external induced sorting (``induced_sort``) with queues in scratch files of the task, but
+   arrays over the whole shard are in memory. In each run of suffixes with a common prefix of LENGTH or more all but the earliest repeat.
 4. Removed windows come back to their documents, which drop the bytes they cover.
 
 Null texts are empty. Texts under LENGTH bytes lose nothing. Rows that repeat an id and its text give equal results, each
