@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(sc, "_own_shared_dir", None)
         if path is None:
             path = sc._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="marlspike-")
@@ -32,7 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``frames``; only for what no later plan reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(doc_id: str, m: int) -> Column:
@@ -64,62 +76,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_TABLE[65:91] = _TABLE[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_ODD, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+class WordHash(dict):
+    """word -> its 64-bit hash, remembered for up to ``limit`` words."""
+
+    limit = 150_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
 
 
 class Words:
-    """64-bit hashes of the words of many texts at once: a word is a run of other than ASCII white space, A-Z as a-z.
-
-    A word's hash is its difference of running sums of byte values times powers of an odd number, over the power where it
-    starts; so it doesn't depend on the place.
-    """
-
-    def __init__(self, limit: int = 1 << 20, clean=lambda t: t.encode("utf-8", "surrogatepass")):
-        self.limit, self.clean = limit, clean
-        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            while len(self.power) < n:
-                k = len(self.power)
-                self.power = np.concatenate([self.power, self.power * np.uint64(pow(_ODD, k, 1 << 64))])
-                self.inverse = np.concatenate([self.inverse, self.inverse * np.uint64(pow(_INVERSE, k, 1 << 64))])
-
-    def hashes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of all texts, and how many words each has."""
-        b = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-        self._grow(len(b))
-        gap = _SPACE[b]
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        lo, hi = edge[::2] + 1, edge[1::2] + 1
-        with np.errstate(over="ignore"):
-            total = np.cumsum(_TABLE[b] * self.power[: len(b)])
-            h = mix64((total[hi - 1] - total[lo - 1]) * self.inverse[lo] + (hi - lo).astype(np.uint64))
-        ends = np.cumsum([len(x) + 1 for x in raw])
-        return h, np.diff(np.r_[0, np.searchsorted(lo, ends, "right")]) if len(raw) else np.zeros(0, np.int64)
+    """64-bit hashes of the words of texts: a word is a run of other than ASCII white space, A-Z as a-z."""
+
+    def __init__(self, clean=lambda t: t.encode("utf-8", "surrogatepass").lower()):
+        self.clean, self.table = clean, WordHash()
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        words = self.clean(text).split() if text else []
+        return np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
 
     def each(self, texts) -> Iterator[np.ndarray]:
-        """The word hashes of each of ``texts``, strings or null; about ``limit`` bytes are hashed at a time."""
-        part: list[bytes] = []
-        size = 0
-        for t in texts:
-            raw = self.clean(t) if t else b""
-            part.append(raw)
-            size += len(raw)
-            if size >= self.limit:
-                yield from self._split(part)
-                part, size = [], 0
-        yield from self._split(part)
-
-    def _split(self, part: list[bytes]) -> Iterator[np.ndarray]:
-        h, n = self.hashes(part)
-        at = np.r_[0, np.cumsum(n)]
-        for i in range(len(part)):
-            yield h[at[i] : at[i + 1]]
+        """The word hashes of each of ``texts``, strings or null."""
+        return map(self.hashes, texts)
 
 
 def words_of(text: str | None) -> list[bytes]:

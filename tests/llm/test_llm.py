@@ -276,14 +276,14 @@ def components_by_brute_force(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("limit", "k", "num"), [(24, 4, 85), (2, 1, 50)])
+@pytest.mark.parametrize(("limit", "k", "num"), [(32, 4, 85), (1, 4, 85), (1, 1, 50), (4, 5, 80)])
 def test_ngram_join(spark, docs, empty, monkeypatch, limit, k, num):
-    monkeypatch.setattr(ngram_join, "SMALL", limit)
-    monkeypatch.setattr(ngram_join, "TILE", 7 if limit == 2 else 4096)
+    monkeypatch.setattr(ngram_join, "FEW", limit)  # with 1, no key is known to be rare
+    monkeypatch.setattr(ngram_join, "TILE", 4096 if limit == 32 else 7)
     got = ngram_join.components(docs, k, num, 100).collect()
     assert len(got) == len(corpus())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_brute_force(corpus(), k, num, 100)
-    if limit == 2:
+    if limit != 32:
         return
     assert ngram_join.op7(empty).count() == 0
     kept = [r.doc_id for r in ngram_join.keep_one(docs).collect()]
@@ -299,7 +299,12 @@ def test_linked_sets_share_a_key():
             b = np.unique(np.r_[a[drop:], rng.integers(0, 1 << 62, add).astype(np.uint64)])
             a = np.unique(a)
             if len(b) and ngram_join.links(a, b, 85, 100) and ngram_join.set_id(a) != ngram_join.set_id(b):
-                assert set(ngram_join.keys(a, 85, 100).tolist()) & set(ngram_join.keys(b, 85, 100).tolist())
+                bits = np.zeros(1 << (ngram_join.COLD_BITS - 3), np.uint8)
+                bits[rng.integers(0, len(bits), len(bits) // 4)] = 255
+                x, y = (ngram_join.prefix(s, ngram_join.Cold(bits), 85, 100)[0].tolist() for s in (a, b))
+                both = [(i, y.index(v)) for i, v in enumerate(x) if v in y]
+                assert both and ngram_join.reachable(len(a), both[0][0], len(b), both[0][1], 85, 100)
+                assert min(both, key=lambda p: p[1]) == both[0]
                 assert ngram_join.may_link(len(a), len(b), ngram_join.bitmap(a), ngram_join.bitmap(b), 85, 100)
 
 
