@@ -14,7 +14,8 @@ Documents are scanned whole and need no shuffle.
 
 Words are runs of ASCII letters, digits, underscores and characters beyond ASCII, in lower case. Null, empty texts and items match nothing; a text or item
 of under five words is one shingle as a whole, and a window is never longer than its document. Repeated rows of documents
-each give their matches; of repeated item ids each text counts. Empty tables give an empty result. Columns other than
+each give their matches; of repeated item ids, and of items without an id, each text counts. Of windows of one item that
+tie the first counts, and of these the shortest. A long text is searched whole, in parts of PART words at a time. Empty tables give an empty result. Columns other than
 doc_id, text and item_id are ignored.
 """
 
@@ -36,6 +37,8 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 SLICE = 20_000
+#: Windows of a text that are looked at together start within this many words.
+PART = 8192
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
@@ -50,7 +53,7 @@ def word_hashes(texts) -> Iterator[np.ndarray]:
 
 def bits(x: np.ndarray) -> np.ndarray:
     """(n, 64) of +1 and -1."""
-    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
+    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
 def fold(sums: np.ndarray) -> np.ndarray:
@@ -157,11 +160,26 @@ class Benchmark:
 
     def starts(self, n_words: int, s: np.ndarray, hits: np.ndarray) -> dict[int, np.ndarray]:
         """Window length -> starts of the candidate windows of a document with the shingles ``s``."""
-        out: dict[int, list[np.ndarray]] = {}
+        edges: dict[int, list[tuple[int, int]]] = {}
         for p in hits.tolist():
             for size in {min(self.length[j], n_words) for j in self.holders[int(s[p])]}:
-                out.setdefault(size, []).append(np.arange(max(0, p - max(0, size - WIDTH)), min(p, n_words - size) + 1))
-        return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+                lo, hi = max(0, p - max(0, size - WIDTH)), min(p, n_words - size) + 1
+                runs = edges.setdefault(size, [])
+                # Hits come in order, so a run can only reach into the one before it.
+                if runs and lo <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], max(hi, runs[-1][1]))
+                elif lo < hi:
+                    runs.append((lo, hi))
+        return {k: np.concatenate([np.arange(lo, hi) for lo, hi in v]) for k, v in edges.items() if v}
+
+    def near_windows(self, s: np.ndarray, starts: np.ndarray, span: int) -> list[tuple[int, int]]:
+        """(start, item) where the fingerprint of ``span`` shingles from there is within the radius of the item's."""
+        lo = int(starts[0])
+        part = s[lo : int(starts[-1]) + span]
+        sums = np.zeros((len(part) + 1, 64), np.int64)
+        np.cumsum(bits(part) * self.fixed_of(part)[:, None], axis=0, out=sums[1:])
+        prints = fold(sums[starts - lo + span] - sums[starts - lo])
+        return [(int(starts[row]), j) for row, j in self.within(prints)]
 
     def search(self, h: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
         """(item, start, words, similarity) of the best window for each item that some window of a text resembles."""
@@ -178,20 +196,13 @@ class Benchmark:
                         best.setdefault(j, (1.0, -at, -k))
         for size, starts in self.starts(len(h), s, hits).items():
             span = max(1, size - WIDTH + 1)
-            lo, hi = int(starts[0]), int(starts[-1]) + span
-            part = s[lo:hi]
-            sums = np.zeros((len(part) + 1, 64), np.int64)
-            np.cumsum(bits(part) * self.fixed_of(part)[:, None], axis=0, out=sums[1:])
-            prints = fold(sums[starts - lo + span] - sums[starts - lo])
-            memo: dict[int, set[int]] = {}
-            for row, j in self.within(prints):
-                at = int(starts[row])
-                window = memo.get(at)
-                if window is None:
-                    window = memo[at] = set(s[at : at + span].tolist())
-                sim = self.similarity(window, j)
-                if sim >= least and (sim, -at, -size) > best.get(j, (0.0, 0, 0)):
-                    best[j] = (sim, -at, -size)
+            # Windows are looked at a part at a time, those of a part within about PART shingles.
+            cut = np.flatnonzero(np.r_[True, starts[1:] // PART != starts[:-1] // PART])
+            for part in np.split(starts, cut[1:]):
+                for at, j in self.near_windows(s, part, span):
+                    sim = self.similarity(set(s[at : at + span].tolist()), j)
+                    if sim >= least and (sim, -at, -size) > best.get(j, (0.0, 0, 0)):
+                        best[j] = (sim, -at, -size)
         return [(self.ids[j], -at, -size, sim) for j, (sim, at, size) in sorted(best.items())]
 
 
@@ -222,7 +233,7 @@ def _slices(benchmark: DataFrame, slice_items: int):
     counts = _counts(items) if slices > 1 else ()
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items
-        yield sc.broadcast((sorted((r["item_id"], r["text"]) for r in part.collect()), *counts))
+        yield sc.broadcast((sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), *counts))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, slice_items: int = SLICE) -> DataFrame:

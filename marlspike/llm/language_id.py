@@ -2,13 +2,13 @@
 
 The model has, for each language, the relative frequencies of its known words (seen twice at least, the ``words`` most
 frequent of each language) and of the character n-grams of length 5 to 1 of its words, counted over a bounded sample of
-labelled rows (``sample`` at most for each language). A word that is known scores by its log frequencies; any other is
+labelled rows (``sample`` at most for each of the ``langs`` most frequent languages). A word that is known scores by its log frequencies; any other is
 cut into the longest n-grams that are known, taking shorter ones where a longer one is not, and scores by their mean.
 All word scores of a document add up; the softmax of the sums is the score.
 
 Text that is null or has no letter is ``und`` with score 0. Rows without a lang are not learned from. With nothing to
-learn from everything is ``und``. Ties go to the first language in sorted order. Columns other than doc_id, text and
-lang are ignored.
+learn from everything is ``und``. Ties go to the first language in sorted order. Repeated rows are each learned from and
+each get their prediction; of a long text every word counts. Columns other than doc_id, text and lang don't matter.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import by_batch, crc_mod, schema_text
 
 SAMPLE = 5_000
+#: Languages learned: the most frequent ones, ties by name.
+LANGS = 256
 WORDS = 40_000
 GRAMS = 20_000
 LONGEST = 5
@@ -32,7 +34,10 @@ _WORD = re.compile(r"[^\W\d_]+").findall
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD(text.lower()) if text else []
+    """The runs of letters of a text, in lower case."""
+    got = _WORD(text.lower()) if text else []
+    # The pattern also takes numbers that aren't decimal digits, such as fractions and superscripts.
+    return got if "".join(got).isalpha() or not got else "".join(c if c.isalpha() else " " for c in " ".join(got)).split()
 
 
 class Model(NamedTuple):
@@ -96,29 +101,32 @@ def tally(rows: DataFrame) -> DataFrame:
     return by_batch(rows.select("lang", "text"), "lang string, kind string, key string, n long", work).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Model:
     labelled = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(langs)
+    found = sorted(r["lang"] for r in sizes.collect())
+    if not found:
         return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
-    langs = sorted(sizes)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, sample / sizes[k]) * 2**31)))])
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.element_at(share, F.col("lang")))
+    # A cut by hash leaves a little more rows of a language than asked for, and the rank makes the bound exact.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31))
+    chosen = labelled.join(F.broadcast(sizes), "lang").withColumn("_h", place).filter(F.col("_h") <= (1.2 * sample + 100) / F.col("_n") * 2**31)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))
+    chosen = chosen.withColumn("_r", rank).filter(F.col("_r") <= sample).select("lang", "text")
     # Of each language at most WORDS words and GRAMS n-grams reach the driver.
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     top = tally(chosen).withColumn("_r", rank).filter(F.col("_r") <= F.when(F.col("kind") == "w", WORDS).otherwise(GRAMS)).drop("_r").toArrow()
-    at = {k: i for i, k in enumerate(langs)}
+    at = {k: i for i, k in enumerate(found)}
     counts: dict[str, dict[str, np.ndarray]] = {"w": {}, "g": {}}
     for lang, kind, key, n in zip(*(top[c].to_pylist() for c in ("lang", "kind", "key", "n")), strict=True):
-        counts[kind].setdefault(key, np.zeros(len(langs)))[at[lang]] = n
+        counts[kind].setdefault(key, np.zeros(len(found)))[at[lang]] = n
 
     def logs(table: dict[str, np.ndarray], least: int) -> tuple[dict[str, int], np.ndarray]:
-        total = sum(table.values(), np.zeros(len(langs))) + 1
+        total = sum(table.values(), np.zeros(len(found))) + 1
         kept = [k for k, v in table.items() if v.sum() >= least]
-        return {k: j for j, k in enumerate(kept)}, np.array([np.log((table[k] + 0.1) / total) for k in kept]).reshape(-1, len(langs))
+        return {k: j for j, k in enumerate(kept)}, np.array([np.log((table[k] + 0.1) / total) for k in kept]).reshape(-1, len(found))
 
     (w, ws), (g, gs) = logs(counts["w"], 2), logs(counts["g"], 1)
-    return Model(langs, w, g, ws, gs)
+    return Model(found, w, g, ws, gs)
 
 
 class Rows(dict):
@@ -146,7 +154,7 @@ class Rows(dict):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; a map over the rows."""
+    """``docs`` with lang_pred and score, in place of columns of these names; a map over the rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + GRAMS keys for each language
 
     def work(batches):
@@ -166,6 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score.append(float(1 / np.exp(s - s[k]).sum()) if ws else 0.0)
             yield dict(b) | {"lang_pred": lang, "score": score}
 
+    docs = docs.drop("lang_pred", "score")
     return by_batch(docs, schema_text(docs) + ", lang_pred string, score double", work)
 
 

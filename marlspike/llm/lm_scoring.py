@@ -25,12 +25,14 @@ import uuid
 from collections import Counter
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, crc_mod, stored, words_of
 
-HEAD = 200_000
+#: Words that go to all tasks, about, and the most bytes of one. Any other is scored by a join, with the same result.
+HEAD, LONG = 200_000, 64
 LN10 = math.log(10)
 #: Log probability of a byte that no piece covers, per byte.
 BYTE = math.log(1e-4 / 256)
@@ -218,24 +220,42 @@ class Model(NamedTuple):
         return math.log10(max(self.ends, 0.5) / (self.tokens + 1)) if self.tokens else 0.0
 
 
+def _level() -> Column:
+    """A count below 10,000 itself, beyond that a step of one percent: a few thousand levels at any size."""
+    return F.when(F.col("c") < 10_000, F.col("c")).otherwise(10_000 + F.floor(F.log(F.col("c") / 10_000) * 100)).cast("long")
+
+
+def _frequent(spread: dict[int, int], head: int) -> Column:
+    """Words of the highest levels, and of the level where ``head`` of them are reached a share by hash; none of over LONG bytes."""
+    got = 0
+    for k in sorted(spread, reverse=True):
+        if got + spread[k] > head:
+            share = int((head - got) / spread[k] * 2**31)
+            chosen = (_level() > k) | ((_level() == k) & (F.pmod(F.xxhash64("word"), F.lit(2**31)) < share))
+            break
+        got += spread[k]
+    else:
+        chosen = F.lit(True)
+    return chosen & (F.octet_length("word") <= LONG)
+
+
+def _collected(words: DataFrame) -> dict[bytes, int]:
+    return {bytes(w): int(c) for w, c in zip(*(x.to_pylist() for x in words.select("word", "c").toArrow().columns), strict=True)}
+
+
 def train(train_docs: DataFrame, model_path: str, head: int = HEAD) -> tuple[Model, DataFrame, dict[bytes, int]]:
-    """The model, the table (word, c) of every training word, and its ``head`` most frequent words.
+    """The model, the table (word, c) of every training word, and about ``head`` of its most frequent words.
 
     The piece weights are re-estimated on all training words; all counts, N, V and the discount are of the whole corpus too.
     """
     counts = stored(word_counts(train_docs), "words")
     ends = train_docs.count()
-    spread = {r["k"]: r["n"] for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    spread = {r["k"]: r["n"] for r in counts.groupBy(_level().alias("k")).agg(F.count("*").alias("n")).collect()}
     total = (counts.agg(F.sum("c")).head()[0] or 0) + ends
     types = sum(spread.values()) + (ends > 0)
     n1, n2 = spread.get(1, 0), spread.get(2, 0)
     discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    least, got = 10_001, 0
-    for k in sorted(spread, reverse=True):
-        if got + spread[k] > head:
-            break
-        least, got = k, got + spread[k]
-    top = {bytes(w): int(c) for w, c in zip(*(x.to_pylist() for x in counts.filter(F.col("c") >= least).toArrow().columns), strict=True)} if got else {}
+    top = _collected(counts.filter(_frequent(spread, head)))
     p = vocabulary(model_path)
     uses = piece_uses(counts, p)
     if uses:
@@ -261,8 +281,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, top: dict[bytes, int
 
     scored = "word binary, known long, base double, score double"
     # The frequent words are scored once, a bounded number of them, and not by every task again.
-    least = min(top.values(), default=0)
-    heads = by_batch(counts.filter(F.col("c") >= least).repartition(8 * spark.sparkContext.defaultParallelism).select("word", "c"), scored, rare).toArrow() if top else None
+    words = spark.createDataFrame(pa.table({"word": pa.array(top, pa.binary()), "c": pa.array(top.values(), pa.int64())})) if top else None
+    heads = by_batch(words.repartition(8 * spark.sparkContext.defaultParallelism), scored, rare).toArrow() if top else None
     known = {bytes(w): (x, y) for w, x, y in zip(*(heads[c].to_pylist() for c in ("word", "base", "score")), strict=True)} if top else {}
     frequent = spark.sparkContext.broadcast(known)
 

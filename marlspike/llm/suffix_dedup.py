@@ -12,7 +12,7 @@
 4. Removed windows come back to their documents, which drop the bytes they cover.
 
 Null texts are empty. Texts under LENGTH bytes lose nothing. Rows that repeat an id and its text give equal results, each
-judged as that id; an id must not have two different texts. Empty tables give an empty result. Columns other than doc_id
+judged as that id. Rows without an id, and all but one text of an id that has several, count as documents after all ids. Empty tables give an empty result. Columns other than doc_id
 and text are ignored.
 """
 
@@ -244,9 +244,29 @@ def sorted_repeats(shipped: DataFrame, shards: int) -> DataFrame:
     return by_batch(shipped.repartition(shards, "h").select("doc_id", "at", "n", "region"), "doc_id long, at long, n long", work)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, text, doc_id) where ``id`` is what the row calls itself and ``doc_id`` its place among all documents.
+
+    It is the id, where there is one and its texts are all equal. Of an id with several texts that with the least hash has
+    it; all others and the rows without an id come after all ids, by a hash of their text.
+    """
+    top = docs.agg(F.max("doc_id")).head()[0]
+    base = max(-1, -1 if top is None else top) + 1
+    after = F.lit(base) + F.pmod(F.xxhash64("text"), F.lit(2**63 - 1 - base))
+    digest = F.xxhash64("text")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi")).filter("_lo <> _hi")
+    several = stored(several.select(F.col("doc_id").alias("_of"), "_lo"), "several")
+    docs = docs.withColumn("id", F.col("doc_id"))
+    if several.isEmpty():
+        return docs.withColumn("doc_id", F.coalesce("doc_id", after))
+    docs = docs.join(several, F.col("doc_id") == F.col("_of"), "left")
+    own = F.col("doc_id").isNotNull() & (F.col("_lo").isNull() | (F.col("_lo") == digest))
+    return stored(docs.withColumn("doc_id", F.when(own, F.col("doc_id")).otherwise(after)).select("id", "text", "doc_id"), "keyed")
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, copy (whole text removed) and runs (arrays of first window and windows) for every row."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """id, doc_id, text, copy (whole text removed) and runs (arrays of first window and windows) for every row."""
+    docs = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     digest = F.sha2("text", 256).alias("_d")
     named = docs.filter(F.octet_length("text") >= LENGTH).select("doc_id", digest)
     several = named.groupBy("_d").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first <> _last")
@@ -282,7 +302,7 @@ def op3(docs: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
-            for doc, t, copy, runs in zip(b["doc_id"].to_pylist(), b["text"], b["copy"].to_pylist(), b["runs"].to_pylist(), strict=True):
+            for doc, t, copy, runs in zip(b["id"].to_pylist(), b["text"], b["copy"].to_pylist(), b["runs"].to_pylist(), strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
                 if copy:
                     kept, spans = b"", 1

@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document's features are the hashed terms that occur in it (each once, so long documents don't drown a term) out of the
-``terms`` hashes that differ most between the labels, plus the script-free length class as bias terms. The model is
+A document's features are the hashed terms that occur in it (each once, so long documents don't drown a term) out of at
+most ``terms`` hashes: those that by themselves differ most between the labels, and those of pairs whose interaction does,
+though each of the two may be as frequent under both labels. The model is
 
     w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]
 
@@ -11,7 +12,8 @@ without a shuffle.
 
 Null and empty texts have no term and get the score of the bias. Labels that are null, and labelled ids without a
 document, are left out of training; of repeated labels for an id each counts. With no training rows, or one class only,
-every score is the smoothed base rate. Columns other than doc_id, text and toxic are ignored.
+every score is the smoothed base rate. Repeated rows each get their score, and each count in training; rows that tie in
+the sample's order are alike. Of a long text every term counts. Columns other than doc_id, text and toxic pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BITS = 20
 SAMPLE = 16_000
 TERMS = 4096
 FACTORS = 8
+#: Terms whose pairs are looked at.
+PAIRED = 2048
 #: Documents scored at a time.
 ROWS = 256
 THRESHOLD = 0.3
@@ -75,6 +79,43 @@ class Machine(NamedTuple):
         return y
 
 
+def interacting(rows: list[tuple[np.ndarray, int]], y: np.ndarray, t: np.ndarray, support: np.ndarray) -> list[int]:
+    """Of the PAIRED most frequent terms those of a pair that acts otherwise together than its terms do alone, by z-score.
+
+    The interaction of a pair is p11 - p10 - p01 + p00, p being the share of label 1 among rows with both, one, or none. Of
+    all pairs few have a z-score of 7 by chance.
+    """
+    top = np.sort(t[np.lexsort((t, -support))[:PAIRED]])
+    if len(top) < 2:
+        return []
+    place = np.full(1 << BITS, -1, np.int64)
+    place[top] = np.arange(len(top))
+    n, hits = np.zeros((2, len(top), len(top)), np.float32), np.zeros((2, len(top)))
+    x = np.zeros((1024, len(top)), np.float32)
+    for label in (0, 1):
+        own = [place[r[0]] for r, v in zip(rows, y, strict=True) if v == label]
+        for lo in range(0, len(own), len(x)):
+            x[:] = 0
+            for i, r in enumerate(own[lo : lo + len(x)]):
+                x[i, r[r >= 0]] = 1
+            n[label] += x.T @ x
+            hits[label] += x.sum(axis=0)
+    total = np.array([len(y) - y.sum(), y.sum()])
+    best = np.zeros(len(top))
+    for lo in range(0, len(top), 256):
+        part = slice(lo, lo + 256)
+        n11 = n[:, part].astype(float)
+        n10, n01 = hits[:, part, None] - n11, hits[:, None, :] - n11
+        cells = (n11, n10, n01, total[:, None, None] - n11 - n10 - n01)
+        z, var, few = 0.0, 0.0, np.inf
+        for sign, c in zip((1, -1, -1, 1), cells, strict=True):
+            size = c.sum(axis=0)
+            p = (c[1] + 0.5) / (size + 1)
+            z, var, few = z + sign * p, var + p * (1 - p) / (size + 1), np.minimum(few, size)
+        best[part] = np.where(few >= 8, np.abs(z) / np.sqrt(var), 0).max(axis=1)
+    return [int(top[j]) for j in np.lexsort((top, -best)) if best[j] >= 7]
+
+
 def fit(rows: list[tuple[Collection[int], int]], factors: int = FACTORS, terms_kept: int = TERMS, epochs: int = 30, seed: int = 7) -> Machine:
     """Fits on rows of (distinct hashed terms, label) by AdaGrad on mini-batches; deterministic for the same rows in any order."""
     rows = sorted(((np.fromiter(t, np.int32, len(t)), label) for t, label in rows), key=lambda r: (r[1], len(r[0]), int(r[0].sum(dtype=np.int64))))
@@ -91,6 +132,7 @@ def fit(rows: list[tuple[Collection[int], int]], factors: int = FACTORS, terms_k
     s = -((a[t] / pos - b[t] / neg) ** 2) / (m * (1 - m) * (1 / pos + 1 / neg) + 1e-9)
     # Of a z-score under 3.5 many terms of clean rows would be kept by chance.
     kept = [int(t[j]) for j in np.lexsort((t, s))[:terms_kept] if s[j] < -12]
+    kept += [x for x in interacting(rows, y, t, (a + b)[t]) if x not in set(kept)][: max(0, terms_kept - len(kept))]
     index = {term: j for j, term in enumerate(kept)}
     if not index:
         return empty
@@ -151,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([(flat[lo:hi], int(y > 0)) for y, lo, hi in zip(got["toxic"].to_pylist(), at[:-1], at[1:], strict=True)])
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with a column ``score``; a map over the rows."""
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """``docs`` with the scores as column ``name``, in place of one so named; a map over the rows."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)  # at most TERMS rows of FACTORS + 1 numbers
 
@@ -161,9 +203,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             # A batch's sets of terms would take many times its texts, so few rows at a time have theirs.
             parts = [b["text"][lo : lo + ROWS] for lo in range(0, len(b["text"]), ROWS)]
-            yield b | {"score": np.concatenate([np.zeros(0), *(shared.value.scores([terms(t.as_py(), h) for t in p]) for p in parts)])}
+            yield b | {name: np.concatenate([np.zeros(0), *(shared.value.scores([terms(t.as_py(), h) for t in p]) for p in parts)])}
 
-    return by_batch(docs, schema_text(docs) + ", score double", work)
+    docs = docs.drop(name)
+    return by_batch(docs, schema_text(docs) + f", {name} double", work)
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,5 +220,5 @@ def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that the machine, fitted on all labels, scores at ``threshold`` or more."""
-    kept = score(docs, train(docs, labels)).filter(F.col("score") < threshold)
-    return kept.select(*docs.columns)
+    name = "__marlspike_score__"
+    return score(docs, train(docs, labels), name).filter(F.col(name) < threshold).drop(name)

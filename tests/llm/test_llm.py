@@ -187,8 +187,8 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()) + len(train), len(c) + 1
     whole = {}
-    for head in (lm_scoring.HEAD, 20):  # with 20, most words take the join
-        monkeypatch.setattr(lm_scoring.train, "__defaults__", (20, head))
+    for head in (lm_scoring.HEAD, 20, 3, 0):  # with 20, most words take the join; with 3, fewer than the top level has
+        monkeypatch.setattr(lm_scoring.train, "__defaults__", (head,))
         got = lm_scoring.op4(docs, path).collect()
         assert len(got) == len(rows)
         text = {r[0]: words_of(r[1]) for r in rows}
@@ -198,7 +198,7 @@ def test_lm_scoring(spark, docs, empty, monkeypatch):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(x in c for x in w) + 1, n)
             assert r.base_score == pytest.approx(base) and r.score < 0
-        whole[head] = sorted((r.doc_id, round(r.n_tokens, 6)) for r in got)
+        whole[head] = sorted((r.doc_id, round(r.score, 6)) for r in got)
     assert len(set(map(str, whole.values()))) == 1
     assert lm_scoring.op4(empty, path).count() == 0
 
