@@ -462,6 +462,12 @@ def tiled(open_: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
     return by_batch(x.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j"), "a long, b long", work)
 
 
+def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` (key, sid, ...) of ``keys``; a key that many sets have is dealt to SPREAD places."""
+    keys = keys.withColumn("_s", F.explode(F.array(*map(F.lit, range(SPREAD)))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64("sid"), F.lit(SPREAD)).cast("int")).join(keys, ["key", "_s"]).drop("_s")
+
+
 def labelled(df: DataFrame, label: DataFrame, c: str) -> DataFrame:
     """``df`` with ``_c``, the label of the set in column ``c``; a set without one is its own."""
     return df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
@@ -482,7 +488,7 @@ def joined(pairs: DataFrame, common: DataFrame, sets: DataFrame, k: int, num: in
         label = stored(connected(reduce(DataFrame.unionByName, links)), "labels")
         rows = labelled(rows, label, "sid").withColumnRenamed("_sid", "label")
         keys = rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
-        return label, stored(rows.join(keys, "key"), "open")
+        return label, stored(of_keys(rows, keys), "open")
 
     label, open_ = apart(common)
     if open_.isEmpty():
@@ -508,7 +514,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
     pairs = stored(found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     common = found.filter("key is not null").select("key", F.col("b").alias("sid"), "n", "place")
     keys = common.groupBy("key").agg(F.min("sid").alias("_lo"), F.max("sid").alias("_hi")).filter("_lo <> _hi").select("key")
-    common = stored(common.join(keys, "key"), "common")
+    common = stored(of_keys(common, keys), "common")
     discard(found)
     sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(common.select("sid")).distinct()
     sets = needed_sets(docs, members, sids, k)
