@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one priority queue, then exact reranking.
 
-The forest is fitted on a sample of at most ``SAMPLE`` vectors and its leaves hold about ``LEAF`` rows each: where the
-sample is too small to split a node further, nodes go on splitting by random hyperplanes through its mean, so the depth
-follows the table and not the sample. Every vector is indexed. A query's queue holds nodes of all trees by their worst
-margin so far; leaves are taken from it until those taken hold ``search`` rows. Rows and queries meet by leaf, rows of a
-large leaf dealt into parts, and a task streams rows past the leaf's queries and keeps the best for each. Scores are
+The forest is fitted on a sample of at most ``SAMPLE`` vectors and split down to leaves of ``LEAF`` sample rows, so its size
+has a bound whatever the table's. Every vector is indexed; a leaf's rows are estimated from its share of the sample. A query's
+queue holds nodes of all trees by the cost of the way to them: each step adds ln(1 + exp(-z)), z being the query's margin on
+the side taken over the node's spread, which is high for the wrong side of a clear split and low on either side of a close
+one. Leaves are taken from the queue until those taken hold ``want`` rows over all trees. Rows and queries meet by leaf, rows
+of a large leaf dealt into parts, and a task streams rows past the leaf's queries and keeps the best for each. Scores are
 cosines of the original vectors in double precision.
 
 Of rows with the same vector only the k + 1 smallest ids can be an answer (they tie), so the others are queries only.
@@ -19,67 +20,64 @@ import heapq
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import by_batch, stored
+from .common import by_batch, mix64, stored
 
 SAMPLE = 20_000
 TREES = 16
-LEAF = 96
-#: Rows that a query's leaves hold, over all trees: so many at least, and this share of the table. By brute force over 51,282
-#: vectors of 64 components, 16 trees find 0.81 of the five nearest with 12,000 rows, 0.91 with 20,000, 0.97 with 30,000.
-SEARCH, SHARE = 30_000, 0.6
+#: Sample rows in a leaf.
+LEAF = 8
+#: Rows that a query's leaves hold, over all trees: so many at least, and this share of the table.
+SEARCH, SHARE = 4_000, 0.2
 PART = 4096
 
 
 class Tree(NamedTuple):
     normal: np.ndarray  # (nodes, d)
     offset: np.ndarray
+    spread: np.ndarray
     child: np.ndarray  # (nodes, 2); a negative value -1 - j is leaf j
+    size: np.ndarray  # sample rows of each leaf
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, leaf: float, depth: int, share: float) -> Tree:
-    """A tree over the sample ``x``; each sample vector stands for ``share`` rows of the table."""
-    normals, offsets, children, leaves = [], [], [], [0]
-
-    def make(rows: np.ndarray, mass: float, level: int) -> int:
-        if mass <= leaf or level >= depth:
-            leaves[0] += 1
-            return -leaves[0]
-        if len(rows) >= 4:
+def grow(x: np.ndarray, rng: np.random.Generator, leaf: int) -> Tree:
+    """A tree over the sample ``x``: nodes are split at the median between two of their rows down to ``leaf`` rows."""
+    normals, offsets, spreads, children, sizes = [], [], [], [], []
+    todo = [(np.arange(len(x)), None)]
+    while todo:
+        rows, above = todo.pop()
+        n = np.zeros(x.shape[1], x.dtype)
+        if len(rows) >= 2 * leaf:
             a, b = x[rng.choice(rows, 2, replace=False)]
             n = a - b
-            if not n.any():
-                n = rng.normal(size=x.shape[1]).astype(x.dtype)
+        if not n.any():  # small enough, or two equal rows were drawn
+            me = -1 - len(sizes)
+            sizes.append(len(rows))
+        else:
+            me = len(normals)
             n /= np.linalg.norm(n)
             side = x[rows] @ n
             off = float(np.median(side))
             right = side > off
-            if right.all() or not right.any():
-                right = rng.random(len(rows)) < 0.5
-        else:
-            n = rng.normal(size=x.shape[1]).astype(x.dtype)
-            n /= np.linalg.norm(n)
-            off = float((x[rows] @ n).mean()) if len(rows) else 0.0
-            right = x[rows] @ n > off
-        j = len(normals)
-        normals.append(n)
-        offsets.append(off)
-        children.append([0, 0])
-        half = mass / 2 if len(rows) < 4 else None
-        children[j][0] = make(rows[~right], half if half is not None else share * int((~right).sum()), level + 1)
-        children[j][1] = make(rows[right], half if half is not None else share * int(right.sum()), level + 1)
-        return j
-
-    root = make(np.arange(len(x)), share * len(x), 0)
-    if root < 0:  # a single leaf
-        return Tree(np.zeros((1, x.shape[1]), np.float32), np.zeros(1), np.array([[-1, -1]]))
-    return Tree(np.array(normals, np.float32), np.array(offsets), np.array(children))
+            normals.append(n)
+            offsets.append(off)
+            spreads.append(max(1e-6, float(side.std())))
+            children.append([0, 0])
+            todo += [(rows[~right], (me, 0)), (rows[right], (me, 1))]
+        if above:
+            children[above[0]][above[1]] = me
+    if not normals:  # a single leaf
+        return Tree(np.zeros((1, x.shape[1]), np.float32), np.zeros(1), np.ones(1), np.array([[-1, -1]]), np.array(sizes))
+    return Tree(np.array(normals, np.float32), np.array(offsets), np.array(spreads), np.array(children), np.array(sizes))
 
 
 class Forest(NamedTuple):
     trees: list[Tree]
+    share: float  # rows of the table for each of the sample
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """(rows, trees) leaf numbers."""
@@ -95,28 +93,36 @@ class Forest(NamedTuple):
             out[:, t] = -1 - node
         return out
 
-    def search(self, q: np.ndarray, sizes: dict[int, int], want: int) -> list[int]:
-        """Leaf keys (tree * 2^32 + leaf), best margins first over all trees, until they hold ``want`` rows."""
-        margins = [q @ t.normal.T - t.offset for t in self.trees]
-        heap = [(-np.inf, t, 0) for t in range(len(self.trees))]
-        got, out = 0, []
+    def parts(self, t: int) -> np.ndarray:
+        """Into how many parts each leaf's rows are dealt."""
+        return np.maximum(1, np.ceil(self.trees[t].size * self.share / PART)).astype(np.int64)
+
+    def search(self, q: np.ndarray, want: float) -> list[tuple[int, int]]:
+        """(tree, leaf), least cost first over all trees, until they hold about ``want`` rows."""
+        cost = []
+        for t in self.trees:
+            z = (q @ t.normal.T - t.offset) / t.spread
+            cost.append(np.stack([np.logaddexp(0, z), np.logaddexp(0, -z)], axis=1).tolist())
+        child = [t.child.tolist() for t in self.trees]
+        heap = [(0.0, t, 0) for t in range(len(self.trees))]
+        got, out = 0.0, []
         while heap and got < want:
             p, t, node = heapq.heappop(heap)
-            while node >= 0:
-                m = margins[t][node]
-                near = int(m > 0)
-                heapq.heappush(heap, (max(p, abs(m)), t, int(self.trees[t].child[node, 1 - near])))
-                node = int(self.trees[t].child[node, near])
-            key = (t << 32) + (-1 - node)
-            if key in sizes:
-                out.append(key)
-                got += sizes[key]
+            if node < 0:
+                out.append((t, -1 - node))
+                got += self.trees[t].size[-1 - node] * self.share
+            else:
+                for c, own in zip(child[t][node], cost[t][node], strict=True):
+                    heapq.heappush(heap, (p + own, t, c))
         return out
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """vec_id, v (array of double), of rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v (an array of float or double), of rows that take part."""
+    kind = table.schema["embedding"].dataType
+    v = F.col("embedding")
+    if not isinstance(kind.elementType, FloatType):
+        v = v.cast("array<double>")
     ok = table.select("vec_id", v.alias("v")).filter(
         "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     )
@@ -131,12 +137,14 @@ def matrix(col) -> np.ndarray:
 
 def unit(x: np.ndarray) -> np.ndarray:
     # Scaled first, so that squares of very large or small components stay finite.
+    x = x.astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise, in double precision and the same whatever else is in the arrays."""
+    a, b = a.astype(float), b.astype(float)
     with np.errstate(over="ignore", invalid="ignore"):
         out = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     if not np.isfinite(out).all():
@@ -152,8 +160,7 @@ def build(rows: DataFrame, n: int, trees: int = TREES, leaf: int = LEAF, sample:
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     x = unit(matrix(got))
     rng = np.random.default_rng(seed)
-    depth = 4 + int(np.ceil(np.log2(max(2, n / leaf)) * 1.5))
-    return Forest([grow(x, rng, leaf, depth, n / len(x)) for _ in range(trees)])
+    return Forest([grow(x, rng, leaf) for _ in range(trees)], n / max(1, len(x)))
 
 
 def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int = LEAF, want: int | None = None) -> DataFrame:
@@ -168,46 +175,46 @@ def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    forest = spark.sparkContext.broadcast(build(held, n, trees, leaf))  # bounded by the sample and log of the table
+    forest = spark.sparkContext.broadcast(build(held, n, trees, leaf))  # TREES * SAMPLE / LEAF nodes at most
+    kind = held.schema["v"].dataType
+    place_schema = f"tree int, leaf int, part int, kind int, vec_id long, v {kind.simpleString()}"
+
+    def flat(x, dtype):
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel().astype(dtype))
 
     def place(batches):
+        f = forest.value
         for b in batches:
             x = matrix(b["v"])
-            at = forest.value.leaves(unit(x)) if len(x) else np.zeros((0, trees), np.int64)
-            key = (at + (np.arange(at.shape[1]) << 32)).ravel()
-            yield {"leaf": key, "vec_id": np.repeat(b["vec_id"].to_numpy(zero_copy_only=False), at.shape[1])}
-
-    placed = stored(by_batch(held.select("vec_id", "v"), "leaf long, vec_id long", place), "leaves")
-    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
-    # One number a leaf: rows / LEAF * TREES of them.
-    counts = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in sizes.toArrow().columns), strict=True)))
+            if not len(x):
+                continue
+            at, ids = f.leaves(unit(x)), b["vec_id"].to_numpy(zero_copy_only=False)
+            for t in range(len(f.trees)):
+                part = (mix64(ids.astype(np.uint64)) % f.parts(t)[at[:, t]].astype(np.uint64)).astype(np.int32)
+                yield {"tree": np.full(len(x), t), "leaf": at[:, t], "part": part, "kind": np.ones(len(x), int), "vec_id": ids, "v": flat(x, x.dtype)}
 
     def probe(batches):
+        f = forest.value
+        dealt = [f.parts(t) for t in range(len(f.trees))]
         for b in batches:
             x = matrix(b["v"])
-            out = {"leaf": [], "part": [], "vec_id": [], "v": []}
-            for q, u, v in zip(b["vec_id"].to_pylist(), unit(x) if len(x) else (), b["v"].to_pylist(), strict=True):
-                for key in forest.value.search(u, counts.value, want):
-                    for part in range(-(-counts.value[key] // PART)):
-                        for c, y in zip(out, (key, part, q, v), strict=True):
-                            out[c].append(y)
-            yield out
+            for q, u, v in zip(b["vec_id"].to_pylist(), unit(x) if len(x) else (), x, strict=True):
+                to = np.array([(t, leaf, part) for t, leaf in f.search(u, want) for part in range(dealt[t][leaf])])
+                yield {"tree": to[:, 0], "leaf": to[:, 1], "part": to[:, 2], "kind": np.zeros(len(to), int), "vec_id": np.full(len(to), q), "v": flat(np.broadcast_to(v, (len(to), len(v))), x.dtype)}
 
-    asked = by_batch(valid.filter(queries).select("vec_id", "v"), "leaf long, part int, vec_id long, v array<double>", probe)
-    parts = F.ceil(F.col("n") / PART)
-    rows = placed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).join(held, "vec_id")
-    both = asked.withColumn("kind", F.lit(0)).unionByName(rows.select("leaf", "part", "vec_id", "v", F.lit(1).alias("kind")))
+    asked = by_batch(valid.filter(queries).select("vec_id", "v"), place_schema, probe)
+    both = asked.unionByName(by_batch(held.select("vec_id", "v"), place_schema, place))
 
     def meet(batches):
         now, ids, qs = None, [], []
         for b in batches:
             out = {"query_id": [], "vec_id": [], "score": []}
-            leaf_, part, kind = (b[c].to_numpy(zero_copy_only=False) for c in ("leaf", "part", "kind"))
+            tree, leaf_, part, kind = (b[c].to_numpy(zero_copy_only=False) for c in ("tree", "leaf", "part", "kind"))
             vec, x = b["vec_id"].to_numpy(zero_copy_only=False), matrix(b["v"])
-            cut = np.flatnonzero(np.r_[True, (leaf_[1:] != leaf_[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]), True]) if len(vec) else [0]
+            cut = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (leaf_[1:] != leaf_[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]), True]) if len(vec) else [0]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if (leaf_[lo], part[lo]) != now:
-                    now, ids, qs = (leaf_[lo], part[lo]), [], []
+                if (tree[lo], leaf_[lo], part[lo]) != now:
+                    now, ids, qs = (tree[lo], leaf_[lo], part[lo]), [], []
                 if kind[lo] == 0:
                     ids += vec[lo:hi].tolist()
                     qs += list(x[lo:hi])
@@ -228,7 +235,7 @@ def search(table: DataFrame, queries: str, k: int, trees: int = TREES, leaf: int
                         out["score"] += s[best].tolist()
             yield out
 
-    met = by_batch(both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind").select("leaf", "part", "kind", "vec_id", "v"), "query_id long, vec_id long, score double", meet)
+    met = by_batch(both.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind"), "query_id long, vec_id long, score double", meet)
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

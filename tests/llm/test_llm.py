@@ -330,7 +330,7 @@ def test_nearest_neighbours(spark, small):
     # The forest alone, made to look at a share of the rows, still finds most.
     e = spark.read.parquet(f"{small}/embeddings.parquet")
     exact = {(r.query_id, r.vec_id) for r in ann.search(e, "vec_id % 50 = 0", 5, want=10**9).collect()}
-    few = {(r.query_id, r.vec_id) for r in ann.search(e, "vec_id % 50 = 0", 5, leaf=8, want=2500).collect()}
+    few = {(r.query_id, r.vec_id) for r in ann.search(e, "vec_id % 50 = 0", 5, want=500 * 4).collect()}
     assert len(exact) == 50 and len(few & exact) >= 45
 
 
