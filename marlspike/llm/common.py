@@ -76,33 +76,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """word -> its 64-bit hash, remembered for up to ``limit`` words."""
-
-    limit = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Of eight bytes the first n.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 class Words:
-    """64-bit hashes of the words of texts: a word is a run of other than ASCII white space, A-Z as a-z."""
-
-    def __init__(self, clean=lambda t: t.encode("utf-8", "surrogatepass").lower()):
-        self.clean, self.table = clean, WordHash()
-
-    def hashes(self, text: str | None) -> np.ndarray:
-        words = self.clean(text).split() if text else []
-        return np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words of many texts at once: a word is a run of other than ASCII white space, A-Z as a-z.
+
+    A word's bytes are taken eight at a time, each eight mixed into the hash of those before, from its length on.
+    """
+
+    def __init__(self, limit: int = 1 << 20, clean=lambda t: t.encode("utf-8", "surrogatepass").lower()):
+        self.limit, self.clean = limit, clean
+
+    def hashes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of all texts, and how many words each has."""
+        joined = b" ".join([b"", *raw, b"        "])
+        b = np.frombuffer(joined, np.uint8)
+        gap = _SPACE[b]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        lo, hi = edge[::2] + 1, edge[1::2] + 1
+        n = hi - lo
+        eight = np.ndarray((len(b) - 7,), "<u8", joined, 0, (1,))
+        with np.errstate(over="ignore"):
+            h = mix64(n.astype(np.uint64) * _STEP)
+            live, off = np.flatnonzero(n <= LONG_WORD), 0
+            while len(live):
+                part = eight[lo[live] + off] & _FIRST[np.minimum(n[live] - off, 8)]
+                h[live] = mix64(h[live] * _STEP + part)
+                off += 8
+                live = live[n[live] > off]
+        for j in np.flatnonzero(n > LONG_WORD).tolist():
+            h[j] = xxhash.xxh3_64_intdigest(joined[lo[j] : hi[j]])
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        return h, np.diff(np.r_[0, np.searchsorted(lo, ends, "right")]) if len(raw) else np.zeros(0, np.int64)
+
+    def batches(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``hashes`` of ``texts``, strings or null, about ``limit`` bytes at a time."""
+        part: list[bytes] = []
+        size = 0
+        for t in texts:
+            raw = self.clean(t) if t else b""
+            part.append(raw)
+            size += len(raw)
+            if size >= self.limit:
+                yield self.hashes(part)
+                part, size = [], 0
+        yield self.hashes(part)
 
     def each(self, texts) -> Iterator[np.ndarray]:
-        """The word hashes of each of ``texts``, strings or null."""
-        return map(self.hashes, texts)
+        """The word hashes of each of ``texts``."""
+        for h, n in self.batches(texts):
+            at = np.r_[0, np.cumsum(n)]
+            for i in range(len(n)):
+                yield h[at[i] : at[i + 1]]
+
+    def shingles(self, texts, k: int) -> Iterator[np.ndarray]:
+        """``shingle_hashes`` of each of ``texts``."""
+        for h, n in self.batches(texts):
+            all_ = shingle_hashes(h, k)
+            at = np.r_[0, np.cumsum(n)]
+            for i in range(len(n)):
+                yield all_[at[i] : at[i + 1] - k + 1] if n[i] >= k else shingle_hashes(h[at[i] : at[i + 1]], k)
 
 
 def words_of(text: str | None) -> list[bytes]:

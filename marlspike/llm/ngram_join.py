@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_batch, discard, mix64, shingle_hashes, stored
+from .common import Words, by_batch, discard, mix64, stored
 from .graph import connected
 
 #: A shingle of fewer sets is rare, where it was counted; a power of two.
@@ -46,23 +46,23 @@ TILE_BITS = 2048
 SPREAD = 8
 #: A column of our own while rows of any columns pass through.
 NEW = "__marlspike_key__"
-_A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def shingle_sets(texts, k: int, words: Words):
     """Sorted distinct 64-bit shingle hashes of each text."""
-    for h in words.each(t.as_py() for t in texts):
-        yield np.unique(shingle_hashes(h, k))
+    for s in words.shingles((t.as_py() for t in texts), k):
+        yield distinct(s)
+
+
+def distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
 def set_id(s: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
     with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(s ^ _A).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
-
-
-def mixed(s: np.ndarray) -> np.ndarray:
-    return mix64(s ^ _B)
+        return int(mix64(s.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -75,11 +75,10 @@ def prefix(s: np.ndarray, cold: Cold, num: int, den: int) -> tuple[np.ndarray, n
     p = prefix_length(len(s), num, den)
     if not p:
         return s[:0], np.zeros(0, bool)
-    y = mixed(s)
-    place = (y >> np.uint64(1)) | (~cold.holds(y)).astype(np.uint64) << np.uint64(63)
-    first = np.argpartition(place, p - 1)[:p] if p < len(y) else np.arange(len(y))
-    first = first[np.lexsort((y[first], place[first]))]
-    return y[first], place[first] >> np.uint64(63) != 0
+    rare = cold.holds(s)
+    first = np.flatnonzero(rare)[:p]
+    rest = np.flatnonzero(~rare)[: p - len(first)]
+    return s[np.r_[first, rest]], np.arange(p) >= len(first)
 
 
 def least_overlap(n, m, num: int, den: int):
@@ -169,8 +168,7 @@ def document_sets(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
-                y = mixed(s)
-                held.append(y[counted(y)])
+                held.append(s[counted(s)])
                 count += len(held[-1])
                 if count > FLUSH:
                     yield told()
@@ -352,7 +350,7 @@ class Unpacked:
     def __call__(self, sid: int, text) -> np.ndarray:
         s = self.held.get(sid)
         if s is None:
-            s = np.unique(shingle_hashes(next(self.words.each([zlib.decompress(text.as_buffer())])), self.k))
+            s = distinct(next(self.words.shingles([zlib.decompress(text.as_buffer())], self.k)))
             if self.size > 1 << 22:
                 self.held, self.size = {}, 0
             self.held[sid] = s

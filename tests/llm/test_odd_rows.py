@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from marlspike.llm import ann, chat_format, decontaminate, language_id, line_dedup, lm_scoring, ngram_join, packing, suffix_dedup, toxicity
-from marlspike.llm.common import Words
+from marlspike.llm.common import Words, shingle_hashes, words_of
 from marlspike.llm.queries import vocabulary_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _h long, _n long, label int, n long, word string, copy boolean"
@@ -33,8 +33,22 @@ def test_words_are_hashed_whole():
     a = "a"
     for _ in range(12):
         a += a.translate(str.maketrans("ab", "ba"))
-    h = Words().hashes(f"{a} {a.translate(str.maketrans('ab', 'ba'))} {a.upper()}")
+    h = next(Words().each([f"{a} {a.translate(str.maketrans('ab', 'ba'))} {a.upper()}"]))
     assert len(a) == 4096 and h[0] != h[1] and h[0] == h[2]
+    rng = random.Random(1)
+    words = {"".join(rng.choice("abAB") for _ in range(n)) for n in range(1, 600) for _ in range(30)}
+    texts = [" ".join(x) for x in (sorted(words), rng.sample(sorted(words), 5000))] + ["", None, " a\tb\x0bc "]
+    got = [h.tolist() for h in Words(limit=9000).each(texts)]
+    name = {}
+    for t, hs in zip(texts, got, strict=True):
+        own = words_of(t)
+        assert len(own) == len(hs)
+        for w, x in zip(own, hs, strict=True):
+            assert name.setdefault(w, x) == x
+    assert len(set(name.values())) == len(name)
+    for k in (1, 4):
+        for t, h, s in zip(texts, Words().each(texts), Words(limit=99).shingles(texts, k), strict=True):
+            assert shingle_hashes(h, k).tolist() == s.tolist()
 
 
 def test_join_keeps_such_words_apart(spark):
