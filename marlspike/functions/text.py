@@ -107,7 +107,7 @@ def has_type(s: Column, name: str) -> Column:
 def glob(s: Column, pattern: str) -> Column:
     """``*`` and ``?`` over the whole string."""
     special = r"\.[]{}()+^$|"
-    return s.rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if c in special else c for c in pattern) + "$")
+    return s.rlike("(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if c in special else c for c in pattern) + "$")
 
 
 def path_matches(a: Column, b: Column) -> Column:
@@ -182,3 +182,24 @@ def is_implementation_path(p: Column) -> Column:
 
 def is_template_path(p: Column) -> Column:
     return F.lower(p).endswith(".component.html")
+
+
+def to_eol(s: Column, crlf: Column) -> Column:
+    """All line ends as CRLF where ``crlf``, else as LF."""
+    lf = F.replace(s, F.lit("\r\n"), F.lit("\n"))
+    return F.when(crlf, F.replace(lf, F.lit("\n"), F.lit("\r\n"))).otherwise(lf)
+
+
+def bounded(s: Column, most: int) -> Column:
+    """``s``, or its first ``most`` bytes or so, cut between characters, and a note."""
+    raw = F.encode(s, "UTF-8")
+    inside = lambda i: F.hex(F.substring(raw, i + 1, 1)).rlike("^[89AB]")
+    cut = F.lit(most - 3)
+    for i in range(most - 2, most + 1):
+        cut = F.when(~inside(i), i).otherwise(cut)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.concat(F.substring(raw, F.lit(1), cut).cast("string"), F.lit("…[truncated]")))
+
+
+def class_summary(fields: Column, methods: Column) -> Column:
+    part = lambda n, name: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}")))
+    return F.concat_ws(", ", part(fields, "fields"), part(methods, "methods"))

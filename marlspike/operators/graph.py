@@ -8,6 +8,7 @@ edges behind a row limit, reach the driver.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -83,10 +87,17 @@ def reverse(edges: DataFrame, *identity: str) -> DataFrame:
 
 
 def counters(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """files, identities, occurrences, edges after and before dedup; one scan of each relation."""
-    e = entities.agg(F.countDistinct("file").alias("files"), F.countDistinct(*ENTITY_KEY).alias("identities"), F.countDistinct(*ENTITY_KEY, F.coalesce("file", F.lit(""))).alias("occurrences"))
+    """files, identities, occurrences, edges after and before dedup; one scan of each relation.
+
+    Entities are made distinct once; what is counted of them afterwards is one row for each identity.
+    """
+    each = entities.groupBy(*ENTITY_KEY).agg(F.collect_set(F.coalesce("file", F.lit(""))).alias("_f"))
+    e = each.agg(F.count("*").alias("identities"), F.coalesce(F.sum(F.size("_f")), F.lit(0)).alias("occurrences"))
+    files = entities.select("file").distinct().agg(F.count("file").alias("files"))
     nulls = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EDGE_KEY]
-    return e.crossJoin(edges.agg(F.countDistinct(F.struct(*nulls)).alias("edges"), F.count("*").alias("edges_before")))
+    rows = edges.groupBy(*(x.alias(c) for x, c in zip(nulls, EDGE_KEY, strict=True))).agg(F.count("*").alias("_n"))
+    totals = rows.agg(F.count("*").alias("edges"), F.coalesce(F.sum("_n"), F.lit(0)).alias("edges_before"))
+    return files.crossJoin(e).crossJoin(totals)
 
 
 def resolve_injections(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,23 +127,31 @@ def closure(edges: DataFrame, start: tuple[str, str, str], depth: int = 1, relat
         edges = edges.filter(admits(F.col("asserting_file"), roots))
     step = edges.filter(F.col("relation").isin(relations)).select(*SUBJECT, *OBJECT)
     frontier = step.filter(is_identity(*start, cols=SUBJECT)).select(*(F.col(o).alias(e) for o, e in zip(OBJECT, ENTITY_KEY, strict=True))).distinct().filter(~is_identity(*start))
-    seen = frontier.withColumn("depth", F.lit(1))
-    level = 1
-    if depth <= 0:
-        step = checkpointed(step.distinct())
-    while depth <= 0 or level < depth:
-        if depth <= 0:
-            seen = checkpointed(seen)
-            frontier = seen.filter(F.col("depth") == level).select(*ENTITY_KEY)
-            if frontier.isEmpty():
-                break
-        level += 1
-        hop = frontier.join(step, [F.col(e) == F.col(s) for e, s in zip(ENTITY_KEY, SUBJECT, strict=True)]).select(*(F.col(o).alias(e) for o, e in zip(OBJECT, ENTITY_KEY, strict=True))).distinct()
-        frontier = hop.filter(~is_identity(*start)).join(seen.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
+    if depth > 0:
+        seen = frontier.withColumn("depth", F.lit(1))
+        for level in range(2, depth + 1):
+            frontier = _hop(frontier, step, start).join(seen.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
+            seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
+        return seen
+    step = checkpointed(step.distinct())
+    rounds = []
+    while True:
+        # Each round is written once; all of them together are what was reached.
+        frontier = checkpointed(frontier.withColumn("depth", F.lit(len(rounds) + 1)))
+        if rounds and frontier.isEmpty():
+            break
+        rounds.append(frontier)
+        seen = reduce(DataFrame.unionByName, rounds)
+        frontier = _hop(frontier.select(*ENTITY_KEY), step, start).join(seen.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
     return seen
 
 
+def _hop(frontier: DataFrame, step: DataFrame, start: tuple[str, str, str]) -> DataFrame:
+    """What the frontier's edges lead to, without the start."""
+    hop = frontier.join(step, [F.col(e) == F.col(s) for e, s in zip(ENTITY_KEY, SUBJECT, strict=True)])
+    return hop.select(*(F.col(o).alias(e) for o, e in zip(OBJECT, ENTITY_KEY, strict=True))).distinct().filter(~is_identity(*start))
+
+
 def cycle_edges(edges: DataFrame, relations: list[str] = CYCLE_RELATIONS) -> DataFrame:
     """relation, subject and object keys, asserting_file of the edges cycles may use."""
     return edges.filter(F.col("relation").isin(relations)).select("relation", *SUBJECT, *OBJECT, "asserting_file").distinct()
@@ -159,39 +178,127 @@ def has_cycle(edges: DataFrame) -> DataFrame:
 def cycle_witness(edges: DataFrame, limit: int = 1_000_000) -> list[tuple]:
     """Edges (relation, subject key, object key) of the first cycle a depth-first search in key order meets; [] without one.
 
-    Sinks are trimmed on the cluster first; that leaves the search's result as it is. More than ``limit`` left edges are an
-    error rather than a partial answer.
+    Sinks are trimmed on the cluster first; that leaves the search's result as it is. Every node left has an edge to another
+    one left, so the search never turns back before it meets its own path: it follows each node's first edge. Only these
+    edges are looked at: up to ``limit`` of them on the driver, beyond that one node at a time, with the same result.
     """
     left = trim_sinks(cycle_edges(edges))
-    if left.count() > limit:
-        raise ValueError(f"more than {limit} edges may lie on cycles; narrow the scope")
-    out: dict[tuple, list] = {}
-    order = {r: i for i, r in enumerate(CYCLE_RELATIONS)}
-    for r in sorted(left.collect(), key=lambda r: (order[r["relation"]], *(r[c] for c in OBJECT), r["asserting_file"] or "")):
-        out.setdefault(tuple(r[c] for c in SUBJECT), []).append((r["relation"], tuple(r[c] for c in OBJECT)))
-    state: dict[tuple, int] = {}
-    for root in sorted(out):
-        if state.get(root):
-            continue
-        path, stack = [], [(root, iter(out[root]))]
-        state[root] = 1
-        while stack:
-            node, rest = stack[-1]
-            for relation, to in rest:
-                if state.get(to) == 1:
-                    nodes = [n for n, _ in stack]
-                    return [*path[nodes.index(to) :], (relation, node, to)]
-                if to in out and not state.get(to):
-                    state[to] = 1
-                    path.append((relation, node, to))
-                    stack.append((to, iter(out[to])))
-                    break
-            else:
-                state[node] = 2
-                stack.pop()
-                if path:
-                    path.pop()
-    return []
+    order = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(CYCLE_RELATIONS) for x in (r, i)]), F.col("relation"))
+    first = checkpointed(left.groupBy(*SUBJECT).agg(F.min(F.struct(order.alias("_o"), *OBJECT, F.coalesce("asserting_file", F.lit("")).alias("_f"), "relation")).alias("_e")))
+    root = first.agg(F.min(F.struct(*SUBJECT)).alias("r")).head()["r"]
+    if root is None:
+        return []
+
+    def target(row):
+        return row["_e"]["relation"], tuple(row["_e"][c] for c in OBJECT)
+
+    if first.limit(limit + 1).count() <= limit:
+        to = {tuple(r[c] for c in SUBJECT): target(r) for r in first.collect()}
+        step = to.__getitem__
+    else:
+        step = lambda node: target(first.filter(is_identity(*node, cols=SUBJECT)).head())
+    node, seen, path = tuple(root), {}, []
+    while node not in seen:
+        seen[node] = len(path)
+        relation, after = step(node)
+        path.append((relation, node, after))
+        node = after
+    return path[seen[node] :]
+
+
+def file_cycles(edges: DataFrame) -> DataFrame:
+    """file_id, cycle (labels) of every back edge that a depth-first search of a file's edges (file_id, from_id, to_id) meets, in key order.
+
+    A file's graph is one task's: it is as large as one source file makes it.
+    """
+
+    def search(rows):
+        import pandas as pd
+
+        out: dict[str, list[str]] = {}
+        for a, b in sorted(zip(rows["from_id"], rows["to_id"], strict=True)):
+            out.setdefault(a, []).append(b)
+        done: dict[str, int] = {}
+        found = []
+        for root in sorted(set(rows["from_id"]) | set(rows["to_id"])):
+            if root in done:
+                continue
+            done[root] = 1
+            path, stack = [root], [iter(out.get(root, ()))]
+            while stack:
+                for to in stack[-1]:
+                    if done.get(to) == 1:
+                        found.append(",".join(path[path.index(to) :]))
+                    elif to not in done:
+                        done[to] = 1
+                        path.append(to)
+                        stack.append(iter(out.get(to, ())))
+                        break
+                else:
+                    done[path.pop()] = 2
+                    stack.pop()
+        return pd.DataFrame({"file_id": [rows["file_id"].iloc[0]] * len(found), "cycle": found})
+
+    return edges.select("file_id", "from_id", "to_id").groupBy("file_id").applyInPandas(search, "file_id string, cycle string")
+
+
+def trace(edges: DataFrame, start: str, target: str, depth: int = 3) -> DataFrame:
+    """from_id, to_id, label of edges within ``depth`` hops of ``start``.
+
+    Without a target both ways are followed. With one, edges out of ``start`` that touch it (its name, or the last part of a
+    dotted one); if there are none, edges into ``start``.
+    """
+    edges = edges.select("from_id", "to_id", "label")
+    if start == target:
+        return edges.limit(0)
+    out = edges.withColumns({"_u": F.col("from_id"), "_v": F.col("to_id")})
+    back = edges.withColumns({"_u": F.col("to_id"), "_v": F.col("from_id")})
+
+    def walk(steps: DataFrame) -> DataFrame:
+        hit = steps.filter(F.col("_u") == start)
+        found = hit
+        for _ in range(depth - 1):
+            hit = steps.join(hit.select(F.col("_v").alias("_u")).distinct(), "_u", "left_semi").select(*steps.columns)
+            found = found.unionByName(hit)
+        return found.select("from_id", "to_id", "label").distinct()
+
+    if not target:
+        return walk(out.unionByName(back))
+    last = lambda c: F.substring_index(c, ".", -1)
+    touches = (F.col("from_id") == target) | (F.col("to_id") == target) | (last("from_id") == target) | (last("to_id") == target)
+    found = walk(out).filter(touches)
+    return walk(back).filter(touches) if found.isEmpty() else found
+
+
+def ambiguous(entities: DataFrame, identities: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """domain, entity_type, name, files of identities that more than one file in scope declares."""
+    e = entities.filter(admits(F.col("file"), roots or [])).join(identities.select(*ENTITY_KEY).distinct(), ENTITY_KEY, "left_semi")
+    return e.groupBy(*ENTITY_KEY).agg(F.array_sort(F.collect_set("file")).alias("files")).filter("size(files) > 1")
+
+
+def set_changes(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
+    """kind (added, removed) and value of what only one side has, each once."""
+    a, b = before.select(col).distinct(), after.select(col).distinct()
+    one = lambda x, y, kind: x.join(y, col, "left_anti").select(F.lit(kind).alias("kind"), col)
+    return one(b, a, "added").unionByName(one(a, b, "removed"))
+
+
+def rows_to_edges(rows: DataFrame) -> DataFrame:
+    """Rows of a graph query as edges (from_id, to_id, label, properties) where exactly one of three columns or more is a ``type(...)``, else as nodes (id, name, file, label, properties).
+
+    Endpoints are the first and last of the other columns; what is left becomes properties, a JSON object by column name.
+    """
+    import re
+
+    cols = rows.columns
+    kinds = [c for c in cols if re.fullmatch(r"\s*type\s*\(.*\)\s*", c)]
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    json_ = lambda names: F.to_json(F.struct(*(F.col(f"`{c}`").alias(c) for c in names))) if names else F.lit("{}")
+    if len(cols) >= 3 and len(kinds) == 1:
+        ends = [c for c in cols if c != kinds[0]]
+        return rows.select(text(ends[0]).alias("from_id"), text(ends[-1]).alias("to_id"), text(kinds[0]).alias("label"), json_(ends[1:-1]).alias("properties"))
+    of = lambda name: next((text(c) for c in cols[1:] if c == name or c.endswith("." + name)), F.lit(""))
+    return rows.select(text(cols[0]).alias("id"), text(cols[0]).alias("name"), of("file_path").alias("file"), of("label").alias("label"), json_(cols[1:]).alias("properties"))
 
 
 def degree(edges: DataFrame, cols: list[str], name: str) -> DataFrame:

@@ -105,3 +105,39 @@ def second_sightings(tokens: DataFrame) -> DataFrame:
 def fingerprint(hashes: DataFrame) -> DataFrame:
     """Name of a workspace: the hash of its sorted file hashes."""
     return hashes.agg(F.concat(F.lit("ws_"), F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256)).alias("fingerprint"))
+
+
+def cache_hits(hits: DataFrame) -> DataFrame:
+    """One row of domain prompt_cache: tokens saved count as raw, none as compressed, so the saving is whole once there is a hit."""
+    return hits.agg(
+        F.lit("prompt_cache").alias("domain"), F.count("*").alias("cache_hits"), F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("raw_tokens"), F.lit(0).cast("long").alias("compressed_tokens"),
+        F.when(F.count("*") > 0, 100.0).otherwise(0.0).alias("savings_pct"),
+    )
+
+
+def tool_filters(applied: DataFrame) -> DataFrame:
+    """Per program (seq, program, raw_tokens, compressed_tokens) what ``per_file`` says of a file of its own, in domain tool_filter."""
+    return per_file(applied.select("seq", F.concat(F.lit("__proxy__"), "program").alias("file"), F.lit("tool_filter").alias("domain"), F.lit("full").alias("strategy"), "raw_tokens", "compressed_tokens"))
+
+
+def rebuilt(contexts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Compression events of stored contexts (id, file, fidelity number, tokens): a delta where the context has any (context_id), else full."""
+    names = F.array(*map(F.lit, ("low", "medium", "high", "edit", "verbatim")))
+    with_delta = deltas.select(F.col("context_id").alias("id")).distinct().withColumn("_d", F.lit(True))
+    known = F.col("fidelity").between(0, 4)
+    return contexts.join(with_delta, "id", "left").select(
+        "file", F.when(F.col("_d"), "delta").otherwise("full").alias("strategy"), F.when(known, F.element_at(names, F.when(known, F.col("fidelity") + 1).otherwise(1).cast("int"))).otherwise("low").alias("fidelity"),
+        *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(c) for c in ("raw_tokens", "compressed_tokens")), F.lit("ir_compression").alias("domain"),
+    )
+
+
+def compression(ops: DataFrame, by: str) -> DataFrame:
+    """source_ops, output_ops and their ratio, 0 without output, of (by, is_output)."""
+    c = ops.groupBy(by).agg(F.count("*").alias("source_ops"), F.count_if("is_output").alias("output_ops"))
+    return c.withColumn("ratio", F.when(F.col("output_ops") > 0, F.col("source_ops") / F.col("output_ops")).otherwise(F.lit(0.0)))
+
+
+def commit_rollup(changes: DataFrame) -> DataFrame:
+    """One row: changed files (status A, D, M, R, T; skipped) in all and by status."""
+    n = lambda code, name: F.count_if(F.col("status") == code).alias(name)
+    return changes.agg(F.count("*").alias("file_count"), n("A", "added"), n("D", "deleted"), n("M", "modified"), n("R", "renamed"), n("T", "type_changed"), F.count_if("skipped").alias("skipped"))

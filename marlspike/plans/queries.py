@@ -11,17 +11,10 @@ from ..operators import decide, diff, graph, ir, messages, ordering, stats
 from ..schema import DEPENDENCY_RELATIONS
 from ..sources import derived
 from ..sources.derived import EDGES_SQL, EVENTS_SQL, LINES_SQL, WITH, table
+from . import selections  # noqa: F401  registers its queries
+from .registry import REGISTRY, query
 
 E, G, EV, L = derived.entities, derived.edges, derived.compression_events, derived.lines
-REGISTRY: dict[str, tuple] = {}
-
-
-def query(name: str, sql: str | None):
-    def put(f):
-        REGISTRY[name] = (f, sql)
-        return f
-
-    return put
 
 
 _DEP = ", ".join(f"'{r}'" for r in DEPENDENCY_RELATIONS)
