@@ -21,7 +21,7 @@ class Group:
     key: str
     max_per_group: int
     max_groups: int
-    omit_label: str = "... {n} more {key}"
+    omit_label: str = "... {n} more in {key}"
 
 
 @dataclass(frozen=True)

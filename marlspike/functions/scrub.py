@@ -10,13 +10,13 @@ ANCHORS = ["eyJ", "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"
 KEYWORDS = ["password", "passwd", "secret", "token", "api_key", "access_key", "private_key", "auth_token", "client_secret", "credential", "bearer"]
 _VALUE = r"""('[^']*'|"(?:[^"\\]|\\.)*"|[^\s]+)"""
 RULES = [
-    ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
-    ("token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bAIza[0-9A-Za-z_\-]{35}\b|\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}\b|\bgithub_pat_[A-Za-z0-9_]{22,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b|\bsk-(?:ant-)?[A-Za-z0-9_\-]{20,}\b|\bhv[sbr]\.[A-Za-z0-9_-]{20,}\b|\bpypi-[A-Za-z0-9_-]{16,}\b", "[REDACTED_TOKEN]"),
-    ("authorization", r"(?i)(authorization\s*[:=]\s*[A-Za-z][A-Za-z0-9._-]*\s+)\S+", "$1[REDACTED]"),
-    ("secret_flag", r"(?i)(--(?:password|passwd|pwd|secret|token|auth[_-]?token|access[_-]?token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|credential|credentials)\s+)" + _VALUE, "$1[REDACTED]"),
+    ("pem_private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]"),
+    ("token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bAIza[0-9A-Za-z_\-]{35}\b|\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}\b|\bgithub_pat_[A-Za-z0-9_]{22,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b|\bsk-(?:ant-)?[A-Za-z0-9_\-]{20,}\b|\bhv[sbr]\.[A-Za-z0-9_-]{20,}\b|\bpypi-[A-Za-z0-9_-]{16,}\b", "[REDACTED]"),
+    ("authorization_header", r"(?i)(authorization\s*[:=]\s*[A-Za-z][A-Za-z0-9._-]*\s+)\S+", "$1[REDACTED]"),
+    ("secret_flag_value", r"(?i)(--(?:password|passwd|pwd|secret|token|auth[_-]?token|access[_-]?token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|credential|credentials)\s+)" + _VALUE, "$1[REDACTED]"),
     ("url_userinfo", r"([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@]+:)[^\s@/]+(@)", "$1[REDACTED]$2"),
-    ("assignment", r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|client[_-]?secret)\s*[:=]\s*)" + _VALUE, "$1[REDACTED]"),
-    ("database_url", r"(?i)(postgres|mysql|mongodb)://([^@\s]+)@", "$1://[REDACTED]@"),
+    ("secret_assignment", r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth[_-]?token|client[_-]?secret)\s*[:=]\s*)" + _VALUE, "$1[REDACTED]"),
+    ("database_url", r"(?i)(postgres|mysql|mongodb)://([^@\s]+)@", "[REDACTED:db_credentials]@"),
 ]
 
 

@@ -430,7 +430,7 @@ def tiled(open_: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
     x = open_.withColumn("band", band(F.col("n"), num, den)).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
     x = x.withColumns({"band": F.col("band") + F.col("up"), "own": F.col("up") == 0}).drop("up")
     sizes = x.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_parts"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("own").alias("_any")).filter("_lo <> _hi and _any")
-    x = x.join(sizes.select("key", "band", "_parts"), ["key", "band"]).withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
+    x = of_keys(x, sizes.select("key", "band", "_parts"), "band").withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     x = x.withColumns({"i": F.least("_b", "_o"), "j": F.greatest("_b", "_o"), "part": (F.col("_b") > F.col("_o")).cast("int")})
     cols = ["sid", "label", "n", "place", "own", "part", "packed"]
@@ -460,10 +460,10 @@ def tiled(open_: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Data
     return by_batch(x.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j"), "a long, b long", work)
 
 
-def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def of_keys(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     """The ``rows`` (key, sid, ...) of ``keys``; a key that many sets have is dealt to SPREAD places."""
     keys = keys.withColumn("_s", F.explode(F.array(*map(F.lit, range(SPREAD)))))
-    return rows.withColumn("_s", F.pmod(F.xxhash64("sid"), F.lit(SPREAD)).cast("int")).join(keys, ["key", "_s"]).drop("_s")
+    return rows.withColumn("_s", F.pmod(F.xxhash64("sid"), F.lit(SPREAD)).cast("int")).join(keys, ["key", *on, "_s"]).drop("_s")
 
 
 def labelled(df: DataFrame, label: DataFrame, c: str) -> DataFrame:

@@ -257,7 +257,7 @@ max_groups = 2
 [[filters.group.tests]]
 name = "groups"
 input = "a1\\nb1\\na2\\na3\\nc1"
-expected = "a1\\na2\\nb1\\n... 1 more files"
+expected = "a1\\na2\\nb1\\n... 1 more in files"
 """)
 query("h1_filter_program", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM ({LINES_SQL}) WHERE NOT regexp_matches(line, '^The |^And ')),
  h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS b FROM l WHERE k <= 8), o AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS x FROM h WHERE b <= 5 GROUP BY 1), n AS (SELECT doc_id, count(*) AS c FROM l GROUP BY 1)
