@@ -329,9 +329,10 @@ def _sequences(s, d):
     return x.withColumn("b", F.concat(F.slice("a", F.lit(1), k), F.array(F.lit("\x00new")), F.slice("a", k + 3, F.size("a"))))
 
 
-query("j4_sequence_script", "SELECT doc_id, CAST(k AS INTEGER) AS prefix, CAST(CASE WHEN n - k >= 1 THEN 1 ELSE 0 END AS INTEGER) AS replaced, CAST(CASE WHEN n - k >= 2 THEN 1 ELSE 0 END AS INTEGER) AS removed, CAST(CASE WHEN n - k = 0 THEN 1 ELSE 0 END AS INTEGER) AS inserted FROM (SELECT doc_id, len(a) AS n, len(a) // 3 AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ')[1:300] AS a FROM documents))")(
+query("j4_sequence_script", "SELECT doc_id, CAST(k AS INTEGER) AS prefix, CAST(CASE WHEN n - k >= 1 THEN 1 ELSE 0 END AS INTEGER) AS replaced, CAST(CASE WHEN n - k >= 2 THEN 1 ELSE 0 END AS INTEGER) AS removed, CAST(CASE WHEN n - k = 0 THEN 1 ELSE 0 END AS INTEGER) AS inserted FROM (SELECT doc_id, len(a) AS n, len(a) // 3 AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS a FROM documents))")(
     lambda s, d: _sequences(s, d).select("doc_id", diff.script(F.col("a"), F.col("b")).alias("x")).select("doc_id", "x.*"))
-query("j7_sequence_replay", "SELECT count(*) AS n, count(*) AS same FROM documents")(lambda s, d: _sequences(s, d).agg(F.count("*").alias("n"), F.count_if(diff.replay(F.col("a"), diff.edits(F.col("a"), F.col("b"))) == F.col("b")).alias("same")))
+query("j7_sequence_replay", """SELECT count(*) AS n, count(*) FILTER (list_concat(list_concat(a[1:p], put), a[p + gone + 1:]) = b) AS same FROM (SELECT *, CASE WHEN len(a) > p THEN least(len(a) - p, 2) ELSE 0 END AS gone, ['new'] AS put FROM (
+ SELECT a, len(a) // 3 AS p, list_concat(list_concat(a[1:len(a) // 3], ['new']), a[len(a) // 3 + 3:]) AS b FROM (SELECT string_split(coalesce(text, ''), ' ') AS a FROM documents)))""")(lambda s, d: _sequences(s, d).agg(F.count("*").alias("n"), F.count_if(diff.replay(F.col("a"), diff.edits(F.col("a"), F.col("b"))) == F.col("b")).alias("same")))
 
 
 def _members(s, d):
