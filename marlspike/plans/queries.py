@@ -138,7 +138,7 @@ query("d14_histogram", "SELECT CAST(CASE WHEN o_totalprice <= 100 THEN 0 WHEN o_
 query("d15_latency_histogram", "SELECT event_type, CAST(CASE " + " ".join(f"WHEN value <= {b} THEN {i}" for i, b in enumerate(stats.LATENCY_LINEAR)) + " ELSE 9 END AS INTEGER) AS bucket, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")(
     lambda s, d: stats.histogram(table(s, d, "events"), "value", stats.LATENCY_LINEAR, ["event_type"]))
 query("d16_error_categories", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
-query("d21_blast_radius", "WITH h AS (SELECT l_suppkey AS file, 0.5::DOUBLE + 0.5::DOUBLE * least(count(DISTINCT l_partkey), 10) / 10 AS impact FROM lineitem WHERE l_partkey < 20 GROUP BY 1) SELECT * FROM h UNION ALL SELECT s_suppkey, 0.3::DOUBLE FROM supplier WHERE s_suppkey NOT IN (SELECT file FROM h)")(
+query("d21_blast_radius", "WITH h AS (SELECT l_suppkey AS file, 0.5::DOUBLE + 0.5::DOUBLE * least(count(DISTINCT l_partkey), 10) / 10 AS impact FROM lineitem GROUP BY 1) SELECT * FROM h UNION ALL SELECT s_suppkey, 0.3::DOUBLE FROM supplier WHERE s_suppkey NOT IN (SELECT file FROM h)")(
     lambda s, d: stats.blast_radius(table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("symbol")), table(s, d, "supplier").select(F.col("s_suppkey").alias("file"))))
 query("d22_fidelity_recommendation", "SELECT p_brand, max(p_retailprice / 1000) AS score, CASE WHEN max(p_retailprice / 1000) > 0.8::DOUBLE THEN 'High' WHEN max(p_retailprice / 1000) < 0.4::DOUBLE THEN 'Low' ELSE 'Medium' END AS fidelity FROM part GROUP BY 1")(
     lambda s, d: stats.recommend_fidelity(table(s, d, "part").select("p_brand", (F.col("p_retailprice") / 1000).alias("score")), "p_brand"))
@@ -180,7 +180,7 @@ query("a18_ttl_latest", "SELECT user_id, arg_max(event_id, event_id) AS event_id
 query("f5_node_universe", WITH + "SELECT domain, entity_type, name FROM entities UNION SELECT s_domain, s_type, s_name FROM edges UNION SELECT o_domain, o_type, o_name FROM edges")(lambda s, d: graph.universe(E(s, d), G(s, d)))
 query("f6_remove_file", WITH + "SELECT (SELECT count(*) FROM entities WHERE file <> 'orders') AS entities, (SELECT count(*) FROM edges WHERE asserting_file <> 'orders') AS edges")(
     lambda s, d: (lambda p: p[0].agg(F.count("*").alias("entities")).crossJoin(p[1].agg(F.count("*").alias("edges"))))(graph.without_file(E(s, d), G(s, d), "orders")))
-query("f3_set_difference", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")(lambda s, d: table(s, d, "nation").select("n_nationkey").join(table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti"))
+query("f3_set_difference", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")(lambda s, d: table(s, d, "nation").select("n_nationkey").join(table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti"))
 
 # --- text
 
