@@ -34,7 +34,7 @@ SAMPLE = 16_000
 TERMS = 4096
 FACTORS = 8
 #: Terms whose pairs are looked at.
-PAIRED = 2048
+PAIRED = 1024
 #: Documents scored at a time.
 ROWS = 256
 THRESHOLD = 0.3
