@@ -40,7 +40,7 @@ MOST, COLD_BITS = 1 << 21, 26
 FLUSH, BUCKET = 1 << 20, 1 << 20
 #: Key rows given out at a time.
 ROWS = 250_000
-TILE = 4096
+TILE = 1024
 #: Bits of a set's bitmap within a tile.
 TILE_BITS = 2048
 SPREAD = 8
