@@ -219,6 +219,10 @@ def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that the machine, fitted on all labels, scores at ``threshold`` or more."""
+    """``docs`` without those that the machine, fitted on all labels, scores at ``threshold`` or more.
+
+    Where no term tells the labels apart, as without labels or with one only, nothing is known against any row and all stay.
+    """
     name = "__marlspike_score__"
-    return score(docs, train(docs, labels), name).filter(F.col(name) < threshold).drop(name)
+    machine = train(docs, labels)
+    return score(docs, machine, name).filter(F.col(name) < threshold).drop(name) if machine.index else docs
