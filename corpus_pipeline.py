@@ -6,7 +6,10 @@
 4. decontamination: documents with a window that resembles a benchmark item go.
 5. packing: the texts are tokenized and packed; one row per piece.
 
-Stages 1 to 4 return the columns of documents. Null and empty texts pass through all of them and are packed as an end id.
+Stages 1 to 4 return the columns of documents, whatever these are called. Null and empty texts pass through all of them and
+are packed as an end id. Repeated rows and rows that share an id are each judged, and copies leave one row; rows without an id
+stay in stage 3, as no smaller id can be named. Ties are settled as each operator says. An empty table gives an empty
+result, and without labels or benchmark items nothing is rejected on their account.
 """
 
 from __future__ import annotations
