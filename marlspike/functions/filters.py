@@ -66,6 +66,30 @@ def load(text: str) -> list[Rule]:
     return out
 
 
+def load_directory(folder: str) -> list[Rule]:
+    """Rules of all TOML files of a folder, by file name; of rules of one name the later file's holds."""
+    import pathlib
+
+    by = {r.name: r for p in sorted(pathlib.Path(folder).glob("*.toml")) for r in load(p.read_text("utf-8"))}
+    return list(by.values())
+
+
+def apply_selected(rules: list[Rule], command: Column, s: Column) -> Column:
+    """``s`` after the rule that its command selects; as it is where none does.
+
+    The choice is the one ``select`` makes, in one expression on each row.
+    """
+    best = F.lit(None).cast("struct<n:int,p:int,r:string>")
+    out = s
+    for r in sorted(rules, key=lambda r: r.name, reverse=True):
+        hit = F.when(command.rlike(r.command), F.struct(F.length(F.regexp_extract(command, f"({r.command})", 1)).alias("n"), F.lit(r.priority).alias("p"), F.lit(r.name).alias("r")))
+        better = hit.isNotNull() & (best.isNull() | (hit.n > best.n) | ((hit.n == best.n) & (hit.p >= best.p)))
+        best = F.when(better, hit).otherwise(best)
+    for r in rules:
+        out = F.when(best.r == r.name, apply(r, s).text).otherwise(out)
+    return out
+
+
 def _any(x: Column, patterns: tuple[str, ...]) -> Column:
     return x.rlike("|".join(f"(?:{p})" for p in patterns))
 

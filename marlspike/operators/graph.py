@@ -213,14 +213,15 @@ def file_cycles(edges: DataFrame) -> DataFrame:
     """
 
     def search(rows):
-        import pandas as pd
+        import pyarrow as pa
 
+        file_id, ends = rows["file_id"][0].as_py(), [rows[c].to_pylist() for c in ("from_id", "to_id")]
         out: dict[str, list[str]] = {}
-        for a, b in sorted(zip(rows["from_id"], rows["to_id"], strict=True)):
+        for a, b in sorted(zip(*ends, strict=True)):
             out.setdefault(a, []).append(b)
         done: dict[str, int] = {}
         found = []
-        for root in sorted(set(rows["from_id"]) | set(rows["to_id"])):
+        for root in sorted({*ends[0], *ends[1]}):
             if root in done:
                 continue
             done[root] = 1
@@ -237,9 +238,9 @@ def file_cycles(edges: DataFrame) -> DataFrame:
                 else:
                     done[path.pop()] = 2
                     stack.pop()
-        return pd.DataFrame({"file_id": [rows["file_id"].iloc[0]] * len(found), "cycle": found})
+        return pa.table({"file_id": pa.array([file_id] * len(found), pa.string()), "cycle": pa.array(found, pa.string())})
 
-    return edges.select("file_id", "from_id", "to_id").groupBy("file_id").applyInPandas(search, "file_id string, cycle string")
+    return edges.filter("from_id is not null and to_id is not null").select("file_id", "from_id", "to_id").groupBy("file_id").applyInArrow(search, "file_id string, cycle string")
 
 
 def trace(edges: DataFrame, start: str, target: str, depth: int = 3) -> DataFrame:

@@ -16,6 +16,8 @@ TRIM_TOOL, TRIM_AT = "Bash", "Committing changes"
 TRIM_NOTE = "…\n\n[Git commit/PR sections removed by proxy — set TRIM_BASH_GIT=0 to restore]"
 CACHE_COUNTERS = ["total_injected", "tools_slots", "system_slots", "messages_slots", "tail_slots", "small_blocks_filtered", "client_breakpoints_stripped", "client_breakpoints_preserved", "cache_read_tokens", "cache_creation_tokens"]
 TRANSFORM_COUNTERS = ["tools_dropped", "ansi_sequences_stripped", "bash_git_trims", "model_overrides", "secrets_scrubbed", "tool_filters_applied", "items_aged", "bytes_removed"]
+OPENAI_STARTS = ["gpt-", "o1", "o3", "o4", "chatgpt-"]
+SMALL_BLOCK = 500
 #: Bytes up to which a whole JSON document passes where its cut would break it.
 JSON_MOST = 50_000
 
@@ -91,6 +93,36 @@ def marker(program: Column, before: Column, after: Column, percent: Column) -> C
     return F.format_string("§FILTERED %s: %d → %d lines (%.1f%% ↓)", program, before, after, percent)
 
 
+def platform(model: Column) -> Column:
+    """Which service's request form a model's name stands for."""
+    open_ = F.lit(False)
+    for start in OPENAI_STARTS:
+        open_ = open_ | model.startswith(start)
+    return F.when(F.contains(model, F.lit("claude")), "anthropic").when(open_, "openai").otherwise("generic")
+
+
+def tool_result(platform_: str, block: Column) -> Column:
+    """Whether a block (type, role) is a tool's result, in the form of a service."""
+    return F.coalesce(block["type"] == "tool_result" if platform_ == "anthropic" else block["role"] == "tool", F.lit(False))
+
+
+def cache_slots(requests: DataFrame, by: str) -> DataFrame:
+    """Where each request's cache may end, of blocks (by, part: tools, system or messages; message from 0, pos, kind, size, marked).
+
+    Four slots: the last tool, the last system block of over 500 bytes, the last cacheable block of the first message, and the
+    last one of all. A request whose client set marks of its own keeps these and gets none.
+    """
+    at = F.struct("message", "pos")
+    cacheable = (F.col("part") == "messages") & F.col("kind").isin("text", "tool_result", "image")
+    g = requests.groupBy(by).agg(
+        F.max("marked").alias("preserved"), F.max(F.when(F.col("part") == "tools", F.col("pos"))).alias("tool"),
+        F.max(F.when((F.col("part") == "system") & (F.col("size") > SMALL_BLOCK), F.col("pos"))).alias("system"),
+        F.max(F.when(cacheable & (F.col("message") == 0), F.col("pos"))).alias("first"), F.max(F.when(cacheable, at)).alias("tail"),
+    )
+    own = lambda c: F.when(~F.col("preserved"), c)
+    return g.select(by, "preserved", own(F.col("tool")).alias("tool"), own(F.col("system")).alias("system"), own(F.col("first")).alias("first"), own(F.col("tail.message")).alias("tail_message"), own(F.col("tail.pos")).alias("tail_pos"))
+
+
 def usage(body: Column) -> Column:
     """struct(read, creation) of a response: of its JSON, or of the first message_delta event of its stream; 0 where neither says."""
     fields = ("cache_read_input_tokens", "cache_creation_input_tokens")

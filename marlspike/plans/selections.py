@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import filters, tokens
 from ..functions import text as t
 from ..operators import coverage, graph, inference, program, requests, stats
 from ..schema import DEPENDENCY_RELATIONS
@@ -325,3 +326,23 @@ query("j10_class_summary", "SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_siz
     lambda s, d: table(s, d, "part").select("p_partkey", t.class_summary(F.col("p_size") % 3, F.col("p_size") % 4).alias("summary")))
 query("g43_rows_to_edges", "SELECT n_name AS from_id, r_name AS to_id, 'HasEntity' AS label, '{\"k\":\"' || n_nationkey || '\"}' AS properties FROM nation JOIN region ON n_regionkey = r_regionkey")(
     lambda s, d: graph.rows_to_edges(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.lit("HasEntity").alias("type( r )"), F.col("n_nationkey").cast("string").alias("k"), "r_name")))
+
+query("h26_platform", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'anthropic' WHEN p_size % 4 = 1 THEN 'openai' ELSE 'generic' END AS platform FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", requests.platform(F.element_at(F.array(F.lit("x-claude-y"), F.lit("gpt-x"), F.lit("mygpt-"), F.lit("")), (F.col("p_size") % 4 + 1).cast("int"))).alias("platform")))
+_BLOCKS = "SELECT l_orderkey AS k, CASE l_linenumber % 4 WHEN 0 THEN 'tools' WHEN 1 THEN 'system' ELSE 'messages' END AS part, CAST(l_linenumber % 2 AS BIGINT) AS message, l_partkey AS pos, CASE WHEN l_returnflag = 'R' THEN 'thinking' ELSE 'text' END AS kind, CAST(l_quantity * 20 AS BIGINT) AS size, l_orderkey % 9 = 0 AS marked FROM lineitem"
+query("h22_cache_slots", f"""SELECT k, preserved, CASE WHEN NOT preserved THEN tool END AS tool, CASE WHEN NOT preserved THEN sys END AS system, CASE WHEN NOT preserved THEN f END AS first, CASE WHEN NOT preserved THEN t // 100000000 END AS tail_message, CASE WHEN NOT preserved THEN t % 100000000 END AS tail_pos FROM (
+ SELECT k, bool_or(marked) AS preserved, max(pos) FILTER (part = 'tools') AS tool, max(pos) FILTER (part = 'system' AND size > 500) AS sys, max(pos) FILTER (part = 'messages' AND kind = 'text' AND message = 0) AS f, max(message * 100000000 + pos) FILTER (part = 'messages' AND kind = 'text') AS t FROM ({_BLOCKS}) GROUP BY k)""")(
+    lambda s, d: requests.cache_slots(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") % 4 == 0, "tools").when(F.col("l_linenumber") % 4 == 1, "system").otherwise("messages").alias("part"),
+        (F.col("l_linenumber") % 2).cast("long").alias("message"), F.col("l_partkey").alias("pos"), F.when(F.col("l_returnflag") == "R", "thinking").otherwise("text").alias("kind"), (F.col("l_quantity") * 20).cast("long").alias("size"), (F.col("l_orderkey") % 9 == 0).alias("marked")), "k"))
+query("g12_tokenizer_name", "SELECT event_id, CASE event_type WHEN 'view' THEN 'cl100k' WHEN 'click' THEN 'claude' WHEN 'error' THEN 'llama3' ELSE 'o200k' END AS name FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", tokens.resolved(F.when(F.col("event_type") == "view", "GPT-4"), F.when(F.col("event_type") == "error", "Meta").when(F.col("event_type") == "signup", "what"), F.when(F.col("event_type") == "click", "Claude-3")).alias("name")))
+_RULES = filters.load("""
+[filters.short]
+match_command = "^cat\\\\b"
+head_lines = 2
+[filters.shorter]
+match_command = "^cat x\\\\b"
+head_lines = 1
+""")
+query("h4_filter_by_command", "SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN string_split_regex(text, '\\r?\\n')[1] WHEN 1 THEN text ELSE text END) AS h FROM documents WHERE len(string_split_regex(text, '\\r?\\n')) > 2 AND doc_id % 3 < 2")(
+    lambda s, d: table(s, d, "documents").filter("size(split(text, '\\r?\\n')) > 2 AND doc_id % 3 < 2").select("doc_id", F.sha2(filters.apply_selected(_RULES, F.when(F.col("doc_id") % 3 == 0, "cat x y").otherwise("vi x"), F.col("text")), 256).alias("h")))

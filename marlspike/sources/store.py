@@ -21,12 +21,10 @@ class Store:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def read(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return None
+        """The table, or None where its folder doesn't exist; any other fault is the caller's to see."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(self.path) if there else None
 
     def _write(self, df: DataFrame) -> None:
         # The new rows are settled in a folder beside the table before its buckets are overwritten.
@@ -46,13 +44,16 @@ class Store:
     def delete(self, files: DataFrame) -> None:
         old = self.read()
         if old is not None:
+            # A bucket that loses all its rows has none to overwrite it with, so the whole table is written again.
             kept = old.join(files.select(self.key).distinct(), self.key, "left_anti")
             staged = f"{self.path}__staged"
             kept.write.mode("overwrite").parquet(staged)
-            self.spark.read.parquet(staged).write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
+            self.spark.read.schema(old.schema).parquet(staged).write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
 
-    def load_latest(self) -> DataFrame:
-        return latest(self.read().drop("_bucket"), self.key, ["updated_at"])
+    def load_latest(self) -> DataFrame | None:
+        """The newest context of each file; None while nothing was ever saved."""
+        rows = self.read()
+        return None if rows is None else latest(rows.drop("_bucket"), self.key, ["updated_at"])
 
 
 def sink(store: Store):
