@@ -1,13 +1,14 @@
 """Identity filters, adjacency, resolution and graph operators over ``entities`` and ``edges``.
 
-Loops keep a table of reached nodes and checkpoint each round to the session's checkpoint folder, so lineage stays short
-and a lost executor costs no recomputation of earlier rounds. Only counts, and for cycle witnesses the core of cyclic
-edges behind a row limit, reach the driver.
+Loops write each round once to the folder that all executors share, so lineage stays short and a lost executor costs no
+recomputation of earlier rounds. Only counts, and for cycle witnesses one edge of each node on a cycle's way behind a row
+limit, reach the driver.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +18,19 @@ from ..schema import CYCLE_RELATIONS, DEPENDENCY_RELATIONS, EDGE_KEY, ENTITY_KEY
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that all executors share (``spark.checkpoint.dir``) and read back."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        path = getattr(sc, "_own_rounds_dir", None)
+        if path is None:
+            path = sc._own_rounds_dir = "file://" + tempfile.mkdtemp(prefix="rounds-")
+    path = f"{path.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_identity(domain: str, entity_type: str, name: str, cols=ENTITY_KEY) -> Column:
@@ -252,23 +258,25 @@ def trace(edges: DataFrame, start: str, target: str, depth: int = 3) -> DataFram
     edges = edges.select("from_id", "to_id", "label")
     if start == target:
         return edges.limit(0)
-    out = edges.withColumns({"_u": F.col("from_id"), "_v": F.col("to_id")})
-    back = edges.withColumns({"_u": F.col("to_id"), "_v": F.col("from_id")})
 
-    def walk(steps: DataFrame) -> DataFrame:
-        hit = steps.filter(F.col("_u") == start)
-        found = hit
+    def walk(outward: bool, inward: bool) -> DataFrame:
+        ways = [(u, v) for u, v, on in (("from_id", "to_id", outward), ("to_id", "from_id", inward)) if on]
+
+        def step(nodes: DataFrame, col) -> DataFrame:
+            return reduce(DataFrame.unionByName, [edges.join(nodes.select(F.col("_n").alias(u)), u, "left_semi").select(col(u, v)) for u, v in ways])
+
+        reached = frontier = edges.sparkSession.createDataFrame([(start,)], "_n string")
         for _ in range(depth - 1):
-            hit = steps.join(hit.select(F.col("_v").alias("_u")).distinct(), "_u", "left_semi").select(*steps.columns)
-            found = found.unionByName(hit)
-        return found.select("from_id", "to_id", "label").distinct()
+            frontier = checkpointed(step(frontier, lambda u, v: F.col(v).alias("_n")).distinct())
+            reached = reached.unionByName(frontier)
+        return step(reached, lambda u, v: F.struct("from_id", "to_id", "label").alias("_e")).select("_e.*").distinct()
 
     if not target:
-        return walk(out.unionByName(back))
+        return walk(True, True)
     last = lambda c: F.substring_index(c, ".", -1)
     touches = (F.col("from_id") == target) | (F.col("to_id") == target) | (last("from_id") == target) | (last("to_id") == target)
-    found = walk(out).filter(touches)
-    return walk(back).filter(touches) if found.isEmpty() else found
+    found = walk(True, False).filter(touches)
+    return walk(False, True).filter(touches) if found.isEmpty() else found
 
 
 def ambiguous(entities: DataFrame, identities: DataFrame, roots: list[str] | None = None) -> DataFrame:
