@@ -11,7 +11,7 @@ from ..operators import decide, diff, graph, ir, messages, ordering, stats
 from ..schema import DEPENDENCY_RELATIONS
 from ..sources import derived
 from ..sources.derived import EDGES_SQL, EVENTS_SQL, LINES_SQL, WITH, table
-from . import selections  # noqa: F401  registers its queries
+from . import codecs, selections  # noqa: F401  register their queries
 from .registry import REGISTRY, query
 
 E, G, EV, L = derived.entities, derived.edges, derived.compression_events, derived.lines
