@@ -18,6 +18,7 @@ the sample's order are alike. Of a long text every term counts. Columns other th
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Collection
@@ -172,7 +173,7 @@ def fit(rows: list[tuple[Collection[int], int]], factors: int = FACTORS, terms_k
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fits on the ``sample`` labelled rows whose id hashes are smallest; only their hashed terms reach the driver."""
+    """Fits on the ``sample`` labelled rows whose id hashes are smallest, in one task: only the machine reaches the driver."""
     chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = chosen.count()
     if n > sample:
@@ -186,11 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         for b in batches:
             yield {"toxic": b["toxic"], "terms": [np.array(sorted(terms(t.as_py(), h)), np.int32) for t in b["text"]]}
 
-    got = by_batch(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"), "toxic int, terms array<int>", work).toArrow()
-    # Arrays over the Arrow buffer, as lists of numbers would take many times its bytes.
-    lists = got["terms"].combine_chunks()
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([(flat[lo:hi], int(y > 0)) for y, lo, hi in zip(got["toxic"].to_pylist(), at[:-1], at[1:], strict=True)])
+    def learn(batches):
+        rows = []
+        for b in batches:
+            # Arrays over the Arrow buffer, as lists of numbers would take many times its bytes.
+            at, flat = b["terms"].offsets.to_numpy(), b["terms"].values.to_numpy()
+            rows += [(flat[lo:hi], int(y > 0)) for y, lo, hi in zip(b["toxic"].to_pylist(), at[:-1], at[1:], strict=True)]
+        yield {"machine": [pickle.dumps(fit(rows))]}
+
+    rows = by_batch(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"), "toxic int, terms array<int>", work)
+    # An empty table may have no task.
+    got = by_batch(rows.repartition(1), "machine binary", learn).head()
+    return pickle.loads(got["machine"]) if got else fit([])
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:

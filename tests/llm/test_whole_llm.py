@@ -2,12 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
 import pytest
 
-from marlspike.llm import decontaminate, line_dedup, lm_scoring
+from marlspike.llm import decontaminate, line_dedup, lm_scoring, toxicity
 from marlspike.llm.queries import vocabulary_file
 
 
@@ -78,3 +79,37 @@ def test_short_items_match_within_longer_texts(spark, slice_items):
     assert got == [(10, 1, 2, 2, 1.0), (11, 2, 0, 1, 1.0), (12, 3, 1, 4, 1.0), (15, 5, 1, 5, 1.0)]
     kept = decontaminate.drop_contaminated(docs, bench, slice_items=slice_items).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [13, 14]
+
+
+def test_the_machine_is_fitted_off_the_driver(spark, monkeypatch):
+    """Training rows take many times the machine's memory; the driver gets the machine alone, and the same one."""
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(rows):
+        assert os.getpid() != driver, "fitted on the driver"
+        return fit(rows)
+
+    texts = [(i, f"{'vile' if i % 3 == 0 else 'kind'} word{i % 7} other{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame([*texts, (300, None), (301, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(302)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.train(docs, labels)
+    h = toxicity.TermHash()
+    want = fit([(sorted(toxicity.terms(t, h)), int(i % 3 == 0)) for i, t in [*texts, (300, None), (301, "")]])
+    assert want.index and got.index == want.index and got.w0 == want.w0 and (got.w == want.w).all() and (got.v == want.v).all()
+
+
+def test_shared_lines_are_read_once(spark):
+    keys = [hashlib.md5(f"line {i}".encode()).digest() for i in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    told = spark.createDataFrame([(k,) for k in keys], "_ld_key binary").mapInArrow(tell, "_ld_key binary")
+    docs = spark.createDataFrame([(1, "line 3\nline 50\nline 39"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.strip(docs, told).collect()))
+    assert got == [(1, "line 50", 3, 2), (2, None, 0, 0), (3, "", 1, 0)]
+    assert read.value == len(keys)
