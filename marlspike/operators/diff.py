@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,34 +29,53 @@ def patches(before: Column, after: Column) -> Column:
     return F.filter(F.transform(both, lambda s, i: F.when(~s.x.eqNullSafe(s.y), F.struct(i.alias("index"), s.y.alias("value")))), lambda s: s.isNotNull())
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, evaluated once: a column that an expression names several times is evaluated at each of the places."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _common(a: Column, b: Column) -> Column:
-    n = F.least(F.size(a), F.size(b))
-    differ = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(n == 0, 0).otherwise(F.when(differ == 0, n).otherwise(differ - 1)).cast("int")
+    def differ(s):
+        n = F.least(F.size(s.a), F.size(s.b))
+        first = F.array_position(F.zip_with(F.slice(s.a, 1, n), F.slice(s.b, 1, n), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        return _once(first, lambda at: F.when(n == 0, 0).otherwise(F.when(at == 0, n).otherwise(at - 1)).cast("int"))
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), differ)
+
+
+def _apart(a: Column, b: Column, f: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """``f`` of the common prefix's length, what follows it in ``a`` and in ``b``, and the length of these two's common suffix."""
+    rest = lambda x, n: F.slice(x, n + 1, F.size(x) - n)
+    rests = lambda s, n: F.struct(rest(s.a, n).alias("a"), rest(s.b, n).alias("b"))
+    ends = lambda n, r: _once(_common(F.reverse(r.a), F.reverse(r.b)), lambda m: f(n, r.a, r.b, m))
+    return _once(F.struct(a.alias("a"), b.alias("b")), lambda s: _once(_common(s.a, s.b), lambda n: _once(rests(s, n), lambda r: ends(n, r))))
 
 
 def script(a: Column, b: Column) -> Column:
     """struct(prefix, replaced, removed, inserted): equal ends, then replacements in place, then what is left over."""
-    prefix = _common(a, b)
-    rest_a, rest_b = F.slice(a, prefix + 1, F.size(a) - prefix), F.slice(b, prefix + 1, F.size(b) - prefix)
-    suffix = _common(F.reverse(rest_a), F.reverse(rest_b))
-    na, nb = F.size(rest_a) - suffix, F.size(rest_b) - suffix
-    return F.struct(prefix.alias("prefix"), F.least(na, nb).alias("replaced"), F.greatest(na - nb, F.lit(0)).alias("removed"), F.greatest(nb - na, F.lit(0)).alias("inserted"))
+
+    def counts(prefix, rest_a, rest_b, suffix):
+        na, nb = F.size(rest_a) - suffix, F.size(rest_b) - suffix
+        return F.struct(prefix.alias("prefix"), F.least(na, nb).alias("replaced"), F.greatest(na - nb, F.lit(0)).alias("removed"), F.greatest(nb - na, F.lit(0)).alias("inserted"))
+
+    return _apart(a, b, counts)
 
 
 def edits(a: Column, b: Column) -> Column:
     """The script as a spliceable edit: struct(at, gone, put)."""
-    prefix = _common(a, b)
-    rest_a, rest_b = F.slice(a, prefix + 1, F.size(a) - prefix), F.slice(b, prefix + 1, F.size(b) - prefix)
-    suffix = _common(F.reverse(rest_a), F.reverse(rest_b))
-    return F.struct(prefix.alias("at"), F.slice(rest_a, F.lit(1), F.size(rest_a) - suffix).alias("gone"), F.slice(rest_b, F.lit(1), F.size(rest_b) - suffix).alias("put"))
+    middle = lambda x, suffix: F.slice(x, F.lit(1), F.size(x) - suffix)
+    return _apart(a, b, lambda prefix, rest_a, rest_b, suffix: F.struct(prefix.alias("at"), middle(rest_a, suffix).alias("gone"), middle(rest_b, suffix).alias("put")))
 
 
 def replay(a: Column, e: Column) -> Column:
     """``a`` after an edit; null if what it takes out isn't there."""
-    n = F.size(e["gone"])
-    fits = F.slice(a, e["at"] + 1, n).eqNullSafe(e["gone"])
-    return F.when(fits, F.concat(F.slice(a, F.lit(1), e["at"]), e["put"], F.slice(a, e["at"] + n + 1, F.size(a))))
+
+    def spliced(s):
+        n = F.size(s.e["gone"])
+        fits = F.slice(s.a, s.e["at"] + 1, n).eqNullSafe(s.e["gone"])
+        return F.when(fits, F.concat(F.slice(s.a, F.lit(1), s.e["at"]), s.e["put"], F.slice(s.a, s.e["at"] + n + 1, F.size(s.a))))
+
+    return _once(F.struct(a.alias("a"), e.alias("e")), spliced)
 
 
 def members(before: DataFrame, after: DataFrame) -> DataFrame:
