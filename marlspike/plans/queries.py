@@ -112,7 +112,7 @@ query("c19_in_subquery", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN
 query("d1_fan_in", WITH + "SELECT o_domain AS domain, o_type AS entity_type, o_name AS name, count(*) AS fan_in FROM edges WHERE relation = 'ImportsModule' GROUP BY ALL")(lambda s, d: graph.degree(G(s, d).filter("relation = 'ImportsModule'"), ["o_domain", "o_type", "o_name"], "fan_in"))
 query("d2_fan_out", WITH + "SELECT s_domain AS domain, s_type AS entity_type, s_name AS name, count(*) AS fan_out FROM edges WHERE relation = 'Injects' GROUP BY ALL")(lambda s, d: graph.degree(G(s, d).filter("relation = 'Injects'"), ["s_domain", "s_type", "s_name"], "fan_out"))
 query("d3_index_counters", WITH + "SELECT (SELECT count(DISTINCT file) FROM entities) AS files, (SELECT count(*) FROM (SELECT DISTINCT domain, entity_type, name FROM entities)) AS identities, (SELECT count(*) FROM (SELECT DISTINCT * FROM entities)) AS occurrences, (SELECT count(*) FROM (SELECT DISTINCT * FROM edges)) AS edges, (SELECT count(*) FROM edges) AS edges_before")(lambda s, d: graph.counters(E(s, d), G(s, d)))
-query("d4_distinct_edges", WITH + "SELECT DISTINCT relation, s_name, o_name, asserting_file, argc, spread FROM edges")(lambda s, d: graph.distinct_edges(G(s, d)).select("relation", "s_name", "o_name", "asserting_file", "argc", "spread"))
+query("d4_distinct_edges", WITH + "SELECT DISTINCT relation, s_name, o_name, asserting_file, argc, spread FROM edges")(lambda s, d: G(s, d, distinct=True).select("relation", "s_name", "o_name", "asserting_file", "argc", "spread"))
 
 _FILES = f"""ev AS ({EVENTS_SQL}), files AS (SELECT file, arg_max(domain, seq) AS domain, arg_max(strategy, seq) AS strategy, count(*) AS version, count(*) FILTER (strategy <> 'full') AS delta_count,
  coalesce(arg_max(raw_tokens, seq) FILTER (strategy = 'full'), arg_max(raw_tokens, seq)) AS raw_tokens, coalesce(arg_max(compressed_tokens, seq) FILTER (strategy = 'full'), arg_max(compressed_tokens, seq)) AS compressed_tokens FROM ev GROUP BY file)"""

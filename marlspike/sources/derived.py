@@ -22,24 +22,34 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(*x) for x in _ENTITIES])
 
 
-def _edge(df, relation, s, o, file, argc=None, spread=None):
+def _edge(df, relation, s, o, file, argc=None, spread=None, distinct=False):
+    own = [F.col(s[2]).alias("s_name"), F.col(o[2]).alias("o_name"), *(x.alias(c) for x, c in ((argc, "argc"), (spread, "spread")) if x is not None)]
+    df = df.select(*own)
+    if distinct:
+        df = df.distinct()
     return df.select(
-        F.lit(relation).alias("relation"), F.lit(s[0]).alias("s_domain"), F.lit(s[1]).alias("s_type"), F.col(s[2]).cast("string").alias("s_name"),
-        F.lit(o[0]).alias("o_domain"), F.lit(o[1]).alias("o_type"), F.col(o[2]).cast("string").alias("o_name"), F.lit("star").alias("layer"), F.lit(file).alias("asserting_file"),
-        (F.lit(None) if argc is None else argc).cast("int").alias("argc"), (F.lit(None) if spread is None else spread).cast("boolean").alias("spread"),
+        F.lit(relation).alias("relation"), F.lit(s[0]).alias("s_domain"), F.lit(s[1]).alias("s_type"), F.col("s_name").cast("string").alias("s_name"),
+        F.lit(o[0]).alias("o_domain"), F.lit(o[1]).alias("o_type"), F.col("o_name").cast("string").alias("o_name"), F.lit("star").alias("layer"), F.lit(file).alias("asserting_file"),
+        (F.lit(None) if argc is None else F.col("argc")).cast("int").alias("argc"), (F.lit(None) if spread is None else F.col("spread")).cast("boolean").alias("spread"),
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    """With ``distinct`` each row once.
+
+    No two parts share relation, types and file, and names are keys or text, so each part is made distinct by itself, on its few
+    own columns as they are stored: no constant goes through the shuffle, and no part waits for another's.
+    """
     t = lambda n: table(spark, sf_dir, n)
+    part = lambda *x: _edge(*x, distinct=distinct)
     region, nation, customer, supplier, orders, lineitem = (t(n) for n in ("region", "nation", "customer", "supplier", "orders", "lineitem"))
     return reduce(DataFrame.unionByName, [
-        _edge(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "HasEntity", ("geo", "Region", "r_name"), ("geo", "Nation", "n_name"), "nation"),
-        _edge(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "CallsService", ("geo", "Nation", "n_name"), ("sales", "Customer", "c_name"), "customer"),
-        _edge(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "CallsService", ("geo", "Nation", "n_name"), ("supply", "Supplier", "s_name"), "supplier"),
-        _edge(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), "Injects", ("sales", "Customer", "c_name"), ("sales", "Order", "o_orderkey"), "orders"),
-        _edge(lineitem, "ImportsModule", ("sales", "Order", "l_orderkey"), ("catalog", "Part", "l_partkey"), "lineitem", F.col("l_linenumber"), F.col("l_returnflag") == "R"),
-        _edge(lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), "Injects", ("supply", "Supplier", "s_name"), ("catalog", "Part", "l_partkey"), "lineitem", F.col("l_linenumber"), F.col("l_returnflag") == "R"),
+        part(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "HasEntity", ("geo", "Region", "r_name"), ("geo", "Nation", "n_name"), "nation"),
+        part(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "CallsService", ("geo", "Nation", "n_name"), ("sales", "Customer", "c_name"), "customer"),
+        part(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "CallsService", ("geo", "Nation", "n_name"), ("supply", "Supplier", "s_name"), "supplier"),
+        part(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), "Injects", ("sales", "Customer", "c_name"), ("sales", "Order", "o_orderkey"), "orders"),
+        part(lineitem, "ImportsModule", ("sales", "Order", "l_orderkey"), ("catalog", "Part", "l_partkey"), "lineitem", F.col("l_linenumber"), F.col("l_returnflag") == "R"),
+        part(lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), "Injects", ("supply", "Supplier", "s_name"), ("catalog", "Part", "l_partkey"), "lineitem", F.col("l_linenumber"), F.col("l_returnflag") == "R"),
     ])
 
 
